@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Texts in which two runs of white space meet around a space are encoded as they are.
 _MEETING = re.compile(r"\s \s")
+_MARKS = ".,;:!?"
 _EDGE = re.compile(r"\A\s|\s\Z")
 
 
@@ -17,8 +19,9 @@ class Encoder:
     """A byte-level BPE tokenizer file. Its pre-tokenizer always starts a new part at a single
     space between other characters, so a text's ids are those of its first word and of each
     ' word' after it. Only words that aren't in a bounded cache go to the library, many in one
-    string, which is cut again at the ids whose bytes start with a space (one for each word).
-    The ids equal those of encoding the whole text; tests hold them against that."""
+    string, which is cut again at the ids whose bytes start with a space (one for each word). Words
+    of letters only, or letters and one mark, are one or two parts to the pre-tokenizer; they go to
+    the library's BPE model directly. The ids equal those of encoding the whole text; tests hold them against that."""
 
     def __init__(self, path: str, cache_words: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,15 +34,33 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.starts = np.zeros(self.size, dtype=bool)
         self.starts[[i for w, i in vocabulary.items() if w.startswith("Ġ")]] = True
+        self.model, self.code = self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I"
+        self.marks = {c: self.whole(c).tobytes() for c in _MARKS}
+        # the byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from U+0100 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
+    def _letters(self, word: str) -> bytes:
+        """The ids of a space and a word of letters."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.model.tokenize("Ġ" + shown)]).tobytes()
+
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        found = {w: self.whole(f" {w}").tobytes() for w in words if not w or _EDGE.search(w)}
-        rest = [w for w in words if w not in found]
+        found, rest = {}, []
+        for w in words:
+            if w.isalpha():
+                found[w] = self._letters(w)
+            elif w[-1:] in self.marks and w[:-1].isalpha():
+                found[w] = (self.cache.get(w[:-1]) or self._letters(w[:-1])) + self.marks[w[-1]]
+            elif not w or _EDGE.search(w):
+                found[w] = self.whole(f" {w}").tobytes()
+            else:
+                rest.append(w)
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             fast = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)  # without offsets

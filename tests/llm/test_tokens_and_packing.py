@@ -18,6 +18,11 @@ def encode():
 
 
 def test_encoder_equals_whole_texts(encode):
+    import random
+
+    rng = random.Random(1)
+    made = " ".join("".join(rng.choice("abcdeéßñçÄïąжи日ªʰ'") for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ",", ".", "?", "!!", "1"]) for _ in range(3000))
+    assert encode.encode([made]) == [encode.whole(made).tobytes()]
     for _ in range(2):  # with an empty and with a full cache
         assert encode.encode(ODD) == [encode.whole(t or "").tobytes() for t in ODD]
 
