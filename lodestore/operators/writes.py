@@ -187,6 +187,6 @@ def remember(state: MemoryState, batch: DataFrame, now: int, embed=None, dims: i
     if embed is not None:
         state = upsert_vectors(state, fresh.select("seq", F.col("uuid").alias("memory_uuid"), embed(F.col("content")).alias("vector")), dims, provider, model, now, check)
     if extract_graph:
-        state, _, _ = link(state, out.select("seq", "content"), now, key="seq")
+        state, _, _ = link(state, out.select(F.col("seq").alias("text_id"), "content"), now, key="text_id")
     result = out.select("seq", "uuid", (F.col("action") == "duplicate").alias("duplicate"), ((F.col("action") == "inserted") & F.lit(embed is not None)).alias("embedding_stored"), "tags")
     return state, result
