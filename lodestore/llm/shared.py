@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -63,8 +64,10 @@ def join_on_groups(rows: DataFrame, groups: DataFrame, key: str, heavy_rows: int
     return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(light, key))
 
 
-def blocks_for(rows: int, per_block: int = 50_000) -> int:
-    return max(1, -(-rows // per_block))
+def blocks_for(rows: int, least: int = 2000) -> int:
+    """Blocks for running(): about as many rows in a block as there are blocks, so that neither a
+    block nor the list of blocks is large."""
+    return max(1, -(-rows // max(least, isqrt(rows))))
 
 
 def running(df: DataFrame, group: list[str], block: Column, order: list[Column], value: Column, out: str, total: str | None = None) -> DataFrame:
