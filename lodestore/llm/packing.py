@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from .shared import written
 from .tokens import encoder, slices, tokenizer_path
 
@@ -110,6 +111,7 @@ def _pack(size: int, level: int, last: bool):
 
 def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
     schema = "doc_id long, row long, piece long, start long, length long, ids_crc32 long"
     pieces = written(rows.mapInArrow(_pieces(path or tokenizer_path(), size, end_id), schema), "pieces")

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 ROUNDS = 10
 
 
@@ -228,6 +230,8 @@ def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str
 def redact(docs: DataFrame, key: bytes = b"for tests only", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_values for each row of docs."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("text string, n_values long")
     def apply(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([pseudonymise(t, key) for t in text], columns=["text", "n_values"])

@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from .labelled import Constant, Logistic, class_weights, held_out, training_rows
 
 SAMPLE, PARTS, PIECE, DICTIONARY, LEVEL = 3000, 6, 1024, 64 << 10, 3
@@ -85,6 +86,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    ship(docs.sparkSession)
     return Model(*training_rows(docs, labels, "quality", sample))
 
 

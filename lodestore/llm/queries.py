@@ -94,4 +94,21 @@ FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN counted ON vec_id
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op8_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, 'null')) AS ord FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS size, count(*) AS n FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS i FROM s0),
+s2 AS (SELECT *, [5, 2, 1][i % 3 + 1]::DOUBLE AS w FROM s1),
+s3 AS (SELECT *, (1.5 * sum(size) OVER () - coalesce(sum(2 * size) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS each
+  FROM s2 WINDOW before AS (ORDER BY 2 * size / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT each FROM s3 WHERE each * w <= 2 * size ORDER BY 2 * size / w, i LIMIT 1),
+s4 AS (SELECT source, s3.size, n, i, least(2.0 * s3.size, level.each * w) AS target FROM s3, level),
+b AS (SELECT greatest(1, floor(min(target) FILTER (target > 0) / 1000 + 1e-9))::BIGINT AS block, sum(target) AS goals, max(n) AS most FROM s4),
+seats AS (SELECT block, round(goals / block)::BIGINT AS seats, greatest(1, ceil(most / greatest(2000, floor(sqrt(most)))))::BIGINT AS blocks FROM b),
+quotients AS (SELECT i, target / (2 * q + 1) AS quotient FROM (SELECT i, target, unnest(range(0, (target / block)::BIGINT + 3)) AS q FROM s4, seats WHERE target > 0)),
+quota AS (SELECT i, count(*) AS quota FROM (SELECT i, row_number() OVER (ORDER BY quotient DESC, i) AS r FROM quotients), seats WHERE r <= seats GROUP BY i),
+s5 AS (SELECT s4.*, least(coalesce(quota, 0) * block, 2 * size)::BIGINT AS words, blocks FROM s4 LEFT JOIN quota USING (i), seats),
+x AS (SELECT d.doc_id, d.size, s5.size AS source_size, target, words, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substring(ord, 1, 8))::BIGINT % blocks, ord, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source)
+SELECT doc_id, size, source_size, target, (words // greatest(source_size, 1) * size + greatest(0, least(size, words % greatest(source_size, 1) - before)))::BIGINT AS taken FROM x""",
 }

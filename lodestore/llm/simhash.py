@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from .components import components, local_roots
 from .shared import join_on_groups, small, written
 from .tokens import slices
@@ -65,6 +66,7 @@ def _fingerprints(batches):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     return rows.mapInArrow(_fingerprints, "doc_id long, print long")
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from .shared import new_folder, written
 from .tokens import encoder, slices, tokenizer_path
 
@@ -263,6 +264,7 @@ def write_store(docs: DataFrame, end_id: int = 2, path: str | None = None, folde
     """Encodes docs into a store; its folder, and its keys (doc_id, occurrence, ...). shards: a number
     of shards, by default one for each SHARD_BYTES or so of text."""
     spark = docs.sparkSession
+    ship(spark)
     path, folder = path or tokenizer_path(), folder or new_folder(spark, "tokens")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     if shards is None:
@@ -288,6 +290,7 @@ def write_store(docs: DataFrame, end_id: int = 2, path: str | None = None, folde
 def read_store(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     """Looks up keys (doc_id, occurrence) and reads their ids from the files: doc_id, occurrence,
     start, n_tokens, ids_crc32. Keys that aren't in the store are left out."""
+    ship(spark)
     meta = json.loads(get(f"{folder}/manifest.json"))
     bucket = F.pmod(F.xxhash64("doc_id", "occurrence"), F.lit(meta["buckets"]))
     asked = keys.select(F.col("doc_id").cast("long"), F.col("occurrence").cast("long"), bucket.alias("bucket"))
