@@ -9,9 +9,10 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from ..errors import EmbeddingError, ValidationError
 from ..functions.vectors import mock_embedding
 
@@ -79,6 +80,8 @@ class RemoteProvider:
         self.meta, self.client_factory, self.batch = meta, client_factory, batch
 
     def column(self, text: Column) -> Column:
+        if (spark := SparkSession.getActiveSession()) is not None:
+            ship(spark)
         factory, size, dims = self.client_factory, self.batch, self.meta.dims
 
         @F.pandas_udf("array<double>")
