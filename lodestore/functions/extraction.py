@@ -37,7 +37,16 @@ def capitalised(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Links, then capitalised runs; of one name the first stays."""
-    found = F.concat(wikilinks(text).cast(_ENTITY), capitalised(text).cast(_ENTITY))
-    names = F.array_distinct(F.transform(found, lambda e: e["name"]))
-    # the kind of a name is that of its first place: a map keeps one value for each key, so look it up
-    return F.transform(names, lambda n: F.element_at(F.filter(found, lambda e: e["name"] == n), 1))
+    links = wikilinks(text).cast(_ENTITY)
+    names = F.array_distinct(F.concat(F.transform(links, lambda e: e["name"]), F.transform(capitalised(text), lambda e: e["name"])))
+
+    def one(s: Column) -> Column:
+        def entity(n: Column) -> Column:  # links come first, so a name that has one has the first link's kind
+            kind = F.get(F.filter(s["links"], lambda e: e["name"] == n), F.lit(0))["type"]
+            return F.struct(n.alias("name"), F.coalesce(kind, F.lit("unknown")).alias("type"))
+
+        return F.transform(s["names"], entity)
+
+    # bound as one variable: in the inner function the patterns would be searched again for each name
+    bound = F.array(F.struct(links.alias("links"), names.alias("names")))
+    return F.get(F.transform(bound, one), F.lit(0))

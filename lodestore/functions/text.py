@@ -158,27 +158,22 @@ def phrases(tree) -> list[Phrase]:
     return [tree] if isinstance(tree, Phrase) else [*phrases(tree.left), *phrases(tree.right)]
 
 
-def occurrences(words: Column, phrase: Phrase) -> Column:
-    """How often a phrase occurs in an array of tokens."""
-    n = len(phrase.words)
-    if not n:
-        return F.lit(0)
-    last = phrase.words[-1]
+_TOKEN = r"[\p{L}\p{N}_]"
 
-    def ends(t: Column) -> Column:
-        return t.startswith(last) if phrase.prefix else t == last
 
-    if n == 1:
-        return F.size(F.filter(words, ends))
+def length(folded_text: Column) -> Column:
+    """The number of tokens of a folded text."""
+    return F.regexp_count(folded_text, F.lit(_TOKEN + "+"))
 
-    def here(i: Column) -> Column:
-        found = ends(F.element_at(words, i + F.lit(n - 1)))
-        for k, w in enumerate(phrase.words[:-1]):
-            found = found & (F.element_at(words, i + F.lit(k)) == w)
-        return found
 
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, here))
+def count(folded_text: Column, phrase: Phrase) -> Column:
+    """How often a phrase occurs among a folded text's tokens; occurrences may overlap. Counted in the
+    text itself, so that no array of tokens is made."""
+    if not phrase.words:
+        return F.lit(0)
+    gap = _TOKEN.replace("[", "[^") + "+"
+    inside = gap.join(rf"\Q{w}\E" for w in phrase.words) + ("" if phrase.prefix else f"(?!{_TOKEN})")
+    return F.regexp_count(folded_text, F.lit(f"(?<!{_TOKEN})" + (inside if len(phrase.words) == 1 else f"(?={inside})")))
 
 
 def merge_tags(first: Column, second: Column) -> Column:

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..state import MemoryState
+from .cut import cut
 
 DEPTH_CAP, NODE_CAP, EXPAND_DEPTH_CAP = 8, 1024, 6
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A level's rows in the checkpoint folder, so that plans don't grow and nothing is computed twice."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
-
-
 def adjacency(relations: DataFrame, direction: str = "both", whitelist: list[str] | None = None, min_confidence: float | None = None) -> DataFrame:
     """(u, v, dir, edge): 0 along an edge, 1 against it. The last two arguments are an extension."""
     if direction not in ("out", "in", "both"):
@@ -39,14 +30,14 @@ def bfs_depth(relations: DataFrame, starts: DataFrame, max_depth: int = 2, **edg
     """(uuid, depth) of all nodes within max_depth steps of any of starts (uuid): one pass from all
     starts at once, level by level, each level new nodes only."""
     adj = adjacency(relations, **edges).select("u", "v")
-    level = _cut(starts.select("uuid").distinct())
+    level = cut(starts.select("uuid").distinct())
     seen = level.withColumn("depth", F.lit(0))
     for depth in range(1, min(max_depth, DEPTH_CAP) + 1):
         reached = adj.join(level.withColumnRenamed("uuid", "u"), "u", "left_semi").select(F.col("v").alias("uuid")).distinct()
-        level = _cut(reached.join(seen.select("uuid"), "uuid", "left_anti"))
+        level = cut(reached.join(seen.select("uuid"), "uuid", "left_anti"))
         if not level.limit(1).count():
             break
-        seen = _cut(seen.unionByName(level.withColumn("depth", F.lit(depth))))
+        seen = cut(seen.unionByName(level.withColumn("depth", F.lit(depth))))
     return seen
 
 
@@ -57,7 +48,7 @@ def traverse(relations: DataFrame, start: str, max_depth: int = 2, max_nodes: in
     max_nodes = min(max_nodes, NODE_CAP)
     spark = relations.sparkSession
     adj = adjacency(relations, **edges)
-    seen = level = _cut(spark.createDataFrame([(start, 0, 0, [start])], "uuid string, depth int, position int, path array<string>"))
+    seen = level = cut(spark.createDataFrame([(start, 0, 0, [start])], "uuid string, depth int, position int, path array<string>"))
     n = 1
     for depth in range(1, min(max_depth, DEPTH_CAP) + 1):
         parents = level.select(F.col("uuid").alias("u"), F.col("position").alias("parent"), F.col("path").alias("way"))
@@ -65,11 +56,11 @@ def traverse(relations: DataFrame, start: str, max_depth: int = 2, max_nodes: in
         first = reached.groupBy("v").agg(F.min(F.struct("parent", "dir", "edge", "way")).alias("key")).withColumnRenamed("v", "uuid")
         new = first.join(F.broadcast(seen.select("uuid")), "uuid", "left_anti").orderBy("key").limit(max_nodes - n)
         numbered = new.select("uuid", F.lit(depth).alias("depth"), (F.lit(n - 1) + F.row_number().over(W.orderBy("key"))).alias("position"), F.concat("key.way", F.array("uuid")).alias("path"))
-        level = _cut(numbered)
+        level = cut(numbered)
         found = level.count()
         if not found:
             break
-        seen, n = _cut(seen.unionByName(level)), n + found
+        seen, n = cut(seen.unionByName(level)), n + found
         if n >= max_nodes:
             break
     return seen

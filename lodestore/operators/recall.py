@@ -1,4 +1,5 @@
-"""Recall: arms, merge by mode, filter, linear ranking. One lazy plan but for the graph's levels."""
+"""Recall: arms, merge by mode, filter, linear ranking. An arm's result (at most some hundred rows) is
+materialised, as merge and expansion both read it; the rest is one lazy plan."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from ..errors import ValidationError
 from ..functions.ranking import RankWeights
 from ..state import MemoryState
 from . import graph, retrieval
+from .cut import cut
 from .filters import MemoryFilter, for_recall
 
 TOP_CAP = 200
@@ -58,14 +60,14 @@ def candidates(state: MemoryState, query: str | None, vector: list[float] | None
     if o.mode != "keyword":
         if vector is None:
             raise ValidationError("this mode needs a query vector")
-        near = retrieval.knn(embeddings, vector, k, o.similarity_threshold)
+        near = cut(retrieval.knn(embeddings, vector, k, o.similarity_threshold))
         sims.append(near.select("uuid", "cosine"))
         arms.append(retrieval.ranked(near, "semantic", o.hybrid.semantic, F.desc(F.round("cosine", 9)), "uuid"))
     if o.mode != "semantic":
         if not (query or "").strip():
             raise ValidationError("this mode needs a query text")
         statuses = o.filter.status_in or (None if o.status_scope == "unfiltered" else ["active"])
-        found = retrieval.bm25(memory, query, k, statuses, o.strict_query)
+        found = cut(retrieval.bm25(memory, query, k, statuses, o.strict_query))
         sims.append(found.select("uuid", (2 * F.col("score") - 1).alias("cosine")))
         arms.append(retrieval.ranked(found, "keyword", o.hybrid.keyword, F.round("bm25", 9), "id"))
     near = None
@@ -73,7 +75,7 @@ def candidates(state: MemoryState, query: str | None, vector: list[float] | None
         seeds = sims[0].select("uuid")
         for s in sims[1:]:
             seeds = seeds.union(s.select("uuid"))
-        near = graph.expand(state, seeds.distinct(), o.graph_depth, k)
+        near = cut(graph.expand(state, seeds.distinct(), o.graph_depth, k))
         arms.append(retrieval.ranked(near, "graph", o.hybrid.graph, "uuid"))
     if o.mode == "hybrid":
         live = [a for a, w in zip(arms, (o.hybrid.semantic, o.hybrid.keyword, o.hybrid.graph)) if w > 0]

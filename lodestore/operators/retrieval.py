@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions import ranking, text, vectors
+from .cut import cut
 
 K_CAP = 500
 #: BM25's parameters, and what an inverse document frequency that isn't positive becomes.
@@ -82,7 +83,7 @@ def _positive(tree) -> list:
 def bm25(memory: DataFrame, query: str, k: int = 20, statuses: list[str] | None = ("active",), strict: bool = False) -> DataFrame:
     """(uuid, id, bm25, score) of the k best matches; bm25 is negative, lower is better; score is 1 for
     the best and 0 for the last of the returned ones. Corpus statistics cover rows of every status.
-    One pass over the texts for statistics and one for scores; only one row is exchanged."""
+    One pass over the texts; of each a few numbers are kept, and only one row is exchanged."""
     if statuses is not None and not statuses:
         raise ValidationError("statuses must not be empty")
     tree = text.parse_query(query, strict)
@@ -90,9 +91,9 @@ def bm25(memory: DataFrame, query: str, k: int = 20, statuses: list[str] | None
         return memory.where(F.lit(False)).select("uuid", "id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("score"))
     wanted = list(dict.fromkeys(text.phrases(tree)))
     scoring = [p for p in wanted if p in set(_positive(tree))]
-    # the tokens are needed several times a row: an inner projection that can't be merged with the outer
-    docs = memory.select("uuid", "id", "status", text.tokens(F.col("content")).alias("t"))
-    docs = docs.select("uuid", "id", "status", F.size("t").alias("dl"), *[text.occurrences(F.col("t"), p).alias(f"f{i}") for i, p in enumerate(wanted)])
+    folded = memory.select("uuid", "id", "status", text.folded(F.coalesce("content", F.lit(""))).alias("t"))
+    docs = folded.select("uuid", "id", "status", text.length(F.col("t")).alias("dl"), *[text.count(F.col("t"), p).alias(f"f{i}") for i, p in enumerate(wanted)])
+    docs = cut(docs)  # a few numbers a row, read for statistics and for scores
     totals = docs.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(wanted))])
     found = docs.where(_matches(tree, {p: F.col(f"f{i}") for i, p in enumerate(wanted)})).crossJoin(F.broadcast(totals))  # of one row
     score = F.lit(0.0)

@@ -282,6 +282,8 @@ def test_embedding_providers(spark):
         return (h & 0xFFFFFFFF) / 2**31 - 1
 
     assert a == pytest.approx([fnv("hello world", i) for i in range(16)])
+    odd = spark.createDataFrame([("",), (None,), ("naïve 日本 🙂",), ("x" * 5000,)], "t string").select("t", vectors.mock_embedding(F.col("t"), 8).alias("a"), vectors.mock_expression(F.col("t"), 8).alias("b"))
+    assert all(r.a is None and r.t is None or r.a == r.b for r in odd.collect())
     assert df.select(embedding.ZeroProvider(4).column(F.col("t"))).first()[0] == [0.0] * 4
     remote = embedding.RemoteProvider(embedding.EmbeddingMeta("r", "m", 2), lambda: lambda texts: [[float(len(t)), 1.0] for t in texts], batch=2)
     assert [r[0] for r in df.select(remote.column(F.col("t"))).collect()] == [[11.0, 1.0], [11.0, 1.0], [12.0, 1.0]]
