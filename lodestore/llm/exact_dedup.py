@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, join_on_groups, small, written
+from .shared import ascii_lower, join_on_groups, packed_rows, small, written
 
 BITS_PER_ROW, K = 16, 2
 HEAVY_PARTS = 10_000
@@ -83,11 +83,12 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     move; the others are joined with their decisions by hash and id."""
     found, filtered = decisions(docs, id_col, text_col)
     stays = found.where("_maybe AND kept").select(F.col("_sha").alias("_s"), F.col("doc_id").alias("_d"))
-    probed = probe(docs.withColumn("_sha", digest(F.col(f"`{text_col}`"))), *filtered)
+    rows = packed_rows(docs, _id=F.col(f"`{id_col}`").cast("long"), _sha=digest(F.col(f"`{text_col}`")))
+    probed = probe(rows, *filtered)
     once = probed.where("NOT _maybe")
-    same = (F.col("_sha") == F.col("_s")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_d"))
+    same = (F.col("_sha") == F.col("_s")) & F.col("_id").eqNullSafe(F.col("_d"))
     several = probed.where("_maybe").join(small(stays, stays.count(), 128), same, "left_semi")
     repeats = found.where("_maybe").groupBy("_sha", "doc_id").count().where("count > 1")
     if repeats.limit(1).count():  # the same doc_id and text in several rows: one of them stays
-        several = several.dropDuplicates(["_sha", id_col])
-    return once.unionByName(several).select(*[F.col(f"`{c}`") for c in docs.columns])
+        several = several.dropDuplicates(["_sha", "_id"])
+    return once.unionByName(several).select("_doc.*")

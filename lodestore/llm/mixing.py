@@ -25,7 +25,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks_for, running, small, words_in, written
+from .shared import blocks_for, packed_rows, running, small, words_in, written
 
 WEIGHTS, SHARE, MOST, BLOCKS = (5, 2, 1), Fraction(3, 2), 2, 1000
 
@@ -108,14 +108,14 @@ def mixed_rows(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col
     found = mix(docs, seed, id_col, text_col, source_col)
     found = found.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src")).agg(F.max("_passes").alias("_passes"), F.max("_part").alias("_part"), F.max("size").alias("_size"))
     found = written(found, "mix")
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_src"))
-    rows = docs.join(small(found, found.count(), 96), same)
+    rows = packed_rows(docs, _i=F.col(f"`{id_col}`").cast("long"), _s=F.col(f"`{source_col}`").cast("string"), _text=F.col(f"`{text_col}`"))
+    rows = rows.join(small(found, found.count(), 96), F.col("_i").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_src")))
     whole = F.when(F.col("_part") == F.col("_size"), F.col("_passes") + F.when(F.col("_size") > 0, 1).otherwise(0)).otherwise(F.col("_passes")).cast("int")
     cut = (F.col("_part") > 0) & (F.col("_part") < F.col("_size"))
-    text = F.col(f"`{text_col}`")
+    text = F.col("_text")
     # cut after each word: the first _part pieces are the text up to there, white space as it was
     pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     first = F.array_join(F.slice(pieces, F.lit(1), F.col("_part").cast("int")), "")
     copies = F.concat(F.array_repeat(text, whole), F.when(cut, F.array(first)).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("_copy", F.explode(copies))
-    return rows.select(*[F.col("_copy").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[F.col("_copy").alias(c) if c == text_col else F.col(f"_doc.`{c}`") for c in docs.columns])

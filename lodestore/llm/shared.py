@@ -42,6 +42,12 @@ def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def packed_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of docs as one column _doc, beside own columns: names in docs can't clash with those.
+    select("_doc.*") gives the rows back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[c.alias(name) for name, c in columns.items()])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() does the same, and faster, where all bytes are ASCII."""
     upper = "".join(map(chr, range(65, 91)))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..deploy import ship
 from .components import components, local_roots
-from .shared import join_on_groups, small, written
+from .shared import join_on_groups, packed_rows, small, written
 from .tokens import slices
 
 WORDS, SEED, DISTANCE = 3, 42, 3
@@ -244,4 +244,5 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     found = written(near_dedup(docs, id_col, text_col), "near")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     gone = written(gone, "gone")
-    return docs.join(small(gone, gone.count(), 64), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    rows = packed_rows(docs, _id=F.col(f"`{id_col}`").cast("long"))
+    return rows.join(small(gone, gone.count(), 64), F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select("_doc.*")

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestore.llm import exact_dedup, mixing, sharding
 
@@ -29,6 +30,7 @@ def test_exact_dedup_against_brute_force(spark):
     assert sum(r.kept for r in found) == len(groups)
     kept = exact_dedup.kept_rows(docs)
     assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} <= set(ROWS)
     assert sorted(hashlib.sha256(lower(r.text)).hexdigest() for r in kept.collect()) == sorted(groups)
 
 
@@ -121,6 +123,8 @@ def test_mix(spark):
         whole = dict((x[0], x[1]) for x in rows)[r.doc_id]
         assert (whole or "").startswith(r.text or "")
         out[r.doc_id] = out.get(r.doc_id, 0) + len((r.text or "").split())
+    clash = docs.withColumn("_copy", F.lit("c")).withColumn("_id", F.lit("i")).withColumn("_text", F.lit("t"))
+    assert {(r._copy, r._id, r._text) for r in mixing.mixed_rows(clash).collect()} == {("c", "i", "t")}
     assert {i: n for i, n in words.items() if n} == {i: n for i, n in out.items() if n}
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0 and mixing.mixed_rows(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -5,7 +5,7 @@ import xxhash
 
 from lodestore.llm import components, simhash
 
-DOCS = "doc_id long, text string, print string, bucket string"
+DOCS = "doc_id long, text string, print string, _gone string"
 
 
 def brute_print(text):
