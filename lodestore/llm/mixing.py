@@ -85,34 +85,39 @@ def plan(sizes: list[tuple[str | None, int]], shards: int = 24, blocks: int = BL
 def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 24) -> DataFrame:
     """doc_id, size, source_size, target, taken; also source, _from (words before it in its source's
     stream) and _words (words of the stream that the mix takes in all)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size"))
+    return _mix(rows, seed, shards)
+
+
+def _mix(rows: DataFrame, seed: int, shards: int, *keys: str) -> DataFrame:
+    """mix() of rows (doc_id, source, size, keys); the keys order rows of one id, and come along."""
+    spark = rows.sparkSession
     rows = written(rows.withColumn("_order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))), "counted")
     summed = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
     planned, _ = plan([(r["source"], r["size"]) for r in summed], shards)
     given = spark.createDataFrame([(p["source"], p["source_size"], p["target"], p["words"]) for p in planned], "_source string, source_size long, target double, _words long")
     blocks = blocks_for(max([r["n"] for r in summed], default=0))
     block = F.pmod(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.lit(blocks))
-    rows = running(rows, ["source"], block, [F.col("_order"), F.col("doc_id"), F.col("size")], F.col("size"), "_from")
+    rows = running(rows, ["source"], block, [F.col("_order"), F.col("doc_id"), F.col("size"), *map(F.col, keys)], F.col("size"), "_from")
     rows = rows.join(small(given, len(planned), 256), F.col("source").eqNullSafe(F.col("_source")), "left")
     passes, rest = F.expr("_words div greatest(source_size, 1L)"), F.expr("_words % greatest(source_size, 1L)")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("_from")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).alias("taken"), part.alias("_part"), passes.alias("_passes"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).alias("taken"), part.alias("_part"), passes.alias("_passes"), *keys)
 
 
 def mixed_rows(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of the mix with all columns of docs: a document is repeated for each time it is
     taken whole; one that the last block cuts comes with its first words only, and text_col alone
     is cut. Documents of no words are taken as often as their source is passed through whole.
-    Rows of one doc_id share their decision, so ids are expected once each."""
-    found = mix(docs, seed, id_col, text_col, source_col)
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src")).agg(F.max("_passes").alias("_passes"), F.max("_part").alias("_part"), F.max("size").alias("_size"))
-    found = written(found, "mix")
-    rows = packed_rows(docs, _i=F.col(f"`{id_col}`").cast("long"), _s=F.col(f"`{source_col}`").cast("string"), _text=F.col(f"`{text_col}`"))
-    rows = rows.join(small(found, found.count(), 96), F.col("_i").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_src")))
+    Rows are told apart by a written key, so ids may be null or repeated."""
+    id_, source, text = (F.col(f"`{c}`") for c in (id_col, source_col, text_col))
+    rows = written(packed_rows(docs, _row=F.monotonically_increasing_id(), _text_hash=F.xxhash64(text), _i=id_.cast("long"), _s=source.cast("string"), _n=words_in(text)), "keyed")
+    found = _mix(rows.select(F.col("_i").alias("doc_id"), F.col("_s").alias("source"), F.col("_n").alias("size"), "_text_hash", "_row"), seed, 24, "_text_hash", "_row")
+    found = written(found.select(F.col("_row").alias("_key"), "_passes", "_part", F.col("size").alias("_size")), "mix")
+    rows = rows.join(small(found, found.count(), 96), F.col("_row") == F.col("_key"))
     whole = F.when(F.col("_part") == F.col("_size"), F.col("_passes") + F.when(F.col("_size") > 0, 1).otherwise(0)).otherwise(F.col("_passes")).cast("int")
     cut = (F.col("_part") > 0) & (F.col("_part") < F.col("_size"))
-    text = F.col("_text")
+    text = F.col(f"_doc.`{text_col}`")
     # cut after each word: the first _part pieces are the text up to there, white space as it was
     pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     first = F.array_join(F.slice(pieces, F.lit(1), F.col("_part").cast("int")), "")

@@ -25,8 +25,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..deploy import ship
 from .components import components, local_roots
@@ -61,8 +62,9 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 def _fingerprints(batches):
     for batch in batches:
         for part in slices(batch, 2048):
-            prints = np.array([fingerprint(t or b"") for t in part.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([part.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+            *own, text = part.columns
+            prints = np.array([fingerprint(t or b"") for t in text.to_pylist()], dtype=np.uint64)
+            yield pa.record_batch([*own, pa.array(prints.view(np.int64))], names=[*part.schema.names[:-1], "print"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,27 +224,37 @@ def _signed(x: int) -> int:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of docs."""
-    spark = docs.sparkSession
     rows = written(fingerprints(docs, id_col, text_col), "prints")
-    prints = written(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-prints")
+    found = _in_components(rows, F.min("doc_id"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _in_components(rows: DataFrame, least: Column) -> DataFrame:
+    """rows (print, ...) with component_id: the least of its component, by an aggregate that is a minimum."""
+    spark = rows.sparkSession
+    prints = written(rows.groupBy("print").agg(least.alias("least"), F.count("*").alias("n")), "distinct-prints")
     placed = buckets_of(prints.select("print"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = placed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_link, "src long, dst long")
     roots = components(edges)
     labelled = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = written(labelled.join(least, "root").select("print", "component_id", "n"), "labelled")
+    of_root = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = written(labelled.join(of_root, "root").select("print", "component_id", "n"), "labelled")
     total = rows.count()
     heavy_at = max(1000, total // 10_000)
     heavy = labelled.where(F.col("n") >= heavy_at).count()
-    found = join_on_groups(rows, labelled, "print", heavy, heavy_at, "n")
-    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_on_groups(rows, labelled, "print", heavy, heavy_at, "n")
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component."""
-    found = written(near_dedup(docs, id_col, text_col), "near")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    """One row of each component: that of the smallest id (null last), of equal ids the one of the
+    smallest text hash. Rows are told apart by a written key, so ids may be null or repeated."""
+    ship(docs.sparkSession)
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("binary")
+    rows = written(packed_rows(docs, _row=F.monotonically_increasing_id(), _id=id_, _text_hash=F.xxhash64(text)), "keyed")
+    first = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_text_hash").alias("text_hash"), F.col("_row").alias("row"))
+    texts = rows.select(first.alias("first"), F.col(f"_doc.`{text_col}`").cast("binary").alias("text"))
+    prints = written(texts.mapInArrow(_fingerprints, StructType([*texts.schema.fields[:1], StructField("print", LongType())])), "prints")
+    gone = _in_components(prints, F.min("first")).where(F.col("first.row") != F.col("component_id.row")).select(F.col("first.row").alias("_gone"))
     gone = written(gone, "gone")
-    rows = packed_rows(docs, _id=F.col(f"`{id_col}`").cast("long"))
-    return rows.join(small(gone, gone.count(), 64), F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select("_doc.*")
+    return rows.join(small(gone, gone.count(), 64), F.col("_row") == F.col("_gone"), "left_anti").select("_doc.*")

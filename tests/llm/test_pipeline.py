@@ -130,3 +130,19 @@ def test_queries_give_a_row_for_each_input_row(spark, name):
     found = queries.QUERIES[name](spark, SF)
     n = spark.read.parquet(f"{SF}/{'embeddings' if 'embedding' in name else 'documents'}.parquet").count()
     assert found.count() >= n if "packing" in name else found.count() == n
+
+
+def test_near_and_mixing_stages_take_rows_of_null_and_repeated_ids(spark):
+    from lodestore.llm import mixing, simhash
+
+    long = " ".join(f"word{i}" for i in range(300))
+    schema = "doc_id long, text string, source string"
+    docs = [(1, long, "a"), (None, long, "a"), (None, "unique words of a null id", "a"), (1, long, "b"), (2, "one text of id two", "a"), (2, "quite another text here", "a"), (2, long, "a")]
+    kept = simhash.kept_rows(spark.createDataFrame(docs, schema).repartition(3)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, long), (None, docs[2][1]), (2, docs[4][1]), (2, docs[5][1])])
+    # one id and source, five sizes: each row has its own passes and cut
+    docs = [(i, " ".join(f"{s}{k}" for k in range(n)), s) for s in "ab" for i in (None, 7) for n in (1, 10, 100, 1000, 5000)]
+    df = spark.createDataFrame(docs, schema)
+    got = sum(len(r.text.split()) for r in mixing.mixed_rows(df).collect())
+    assert got == sum(r.taken for r in mixing.mix(df).collect())
+    assert got == sum(r.taken for r in mixing.mix(df.repartition(5)).collect())
