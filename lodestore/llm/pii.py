@@ -9,7 +9,9 @@ security numbers, telephone numbers, IPv4 addresses, calendar dates. What doesn'
 
 A network over pairs (left, right) adds a keyed hash of one half to the other, modulo that half's
 size, in turn; that is a permutation for any two sizes. Values that must also satisfy a rule are
-walked along their cycle until they do. Defined results: null text stays null with 0 found; a text
+walked along their cycle until they do. Of digits in a row with a card among them the longest valid
+run is the card; a number beside one can, one time in ten, make a longer valid run of it, in the text
+or in what it becomes, and then the way back isn't sure. Defined results: null text stays null with 0 found; a text
 without any is returned as it is. The key is a parameter; the default is for tests only.
 """
 
@@ -101,9 +103,13 @@ def _poured(shape: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in shape)
 
 
+def _is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits)
+
+
 def _card(f: Feistel, text: str, back: bool) -> str | None:
     digits = re.sub(r"\D", "", text)
-    if not (13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits)):
+    if not _is_card(digits):
         return None
     body = f.digits("card", digits[1:-1], back=back)  # the network's first digit stays
     last = next(c for c in "0123456789" if luhn(digits[0] + body + c))
@@ -176,28 +182,37 @@ def _email(f: Feistel, text: str, back: bool) -> str | None:
 
 
 KINDS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
-_FIND = re.compile(
+_OTHERS = (
     r"(?P<email>(?<![\w.+%-])[\w.+%-]+@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+)"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
     r"|(?P<date>(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-]))"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))"
 )
+_RUN = r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-]|\.\d))"
+_FIND, _FIND_OTHERS, _FIND_RUN = re.compile(f"{_OTHERS}|{_RUN}"), re.compile(_OTHERS), re.compile(_RUN)
 _ANY = re.compile(r"[0-9@]")
 
 
-def _cards_in(f: Feistel, text: str, back: bool) -> tuple[str, int]:
-    """A run of digits and single separators may be several cards in a row (16 digits each)."""
-    whole = _card(f, text, back)
-    if whole is not None:
-        return whole, 1
-    parts, n = re.split(r"([ -])", text), 0
-    for i in range(0, len(parts), 2):
-        if (new := _card(f, parts[i], back)) is not None:
-            parts[i], n = new, n + 1
-    return "".join(parts), n
+def _cards_in(text: str) -> list[tuple[int, int]]:
+    """Where the cards are in a run of digits and single separators of any length: each run of
+    consecutive pieces may be one; the longest come first, of equals the leftmost."""
+    pieces = [m.span() for m in re.finditer(r"\d+", text)]
+    valid = []
+    for i, (start, _) in enumerate(pieces):
+        digits = ""
+        for a, end in pieces[i:]:
+            digits += text[a:end]
+            if len(digits) > 19:
+                break
+            if _is_card(digits):
+                valid.append((-len(digits), start, end))
+    found: list[tuple[int, int]] = []
+    for _, start, end in sorted(valid):
+        if all(end <= a or b <= start for a, b in found):
+            found.append((start, end))
+    return sorted(found)
 
 
 @lru_cache(maxsize=8)
@@ -209,22 +224,38 @@ def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str
     """The text with pseudonyms, and how many values it holds."""
     if not text or not _ANY.search(text):
         return text, 0
-    f, n = feistel(key), 0
-
-    def one(m: re.Match) -> str:
-        nonlocal n
-        if m.lastgroup == "card":
-            new, found = _cards_in(f, m[0], back)
+    return _replaced(feistel(key), text, back, _FIND)
+
+
+def _replaced(f: Feistel, text: str, back: bool, find: re.Pattern) -> tuple[str, int]:
+    out, n, at = [], 0, 0
+    while m := find.search(text, at):
+        out.append(text[at : m.start()])
+        kind, run = m.lastgroup, m
+        if kind != "card":
+            new = KINDS[kind](f, m[0], back)
+            if new is not None:
+                out.append(new)
+                n, at = n + 1, m.end()
+                continue
+            # what isn't valid may hold the start of a card
+            run = _FIND_RUN.search(text, m.start()) if find is _FIND else None
+            if run is None or run.start() >= m.end():
+                out.append(m[0])
+                at = m.end()
+                continue
+            out.append(text[m.start() : run.start()])
+        at = run.start()
+        for start, end in [*_cards_in(run[0]), (len(run[0]), len(run[0]))]:
+            between, found = _replaced(f, text[at : run.start() + start], back, _FIND_OTHERS)
+            out.append(between)
             n += found
-            return new
-        new = KINDS[m.lastgroup](f, m[0], back)
-        if new is None:
-            return m[0]
-        n += 1
-        return new
-
-    # long runs of digits first: 16 digits, a space and 16 more are two cards
-    return _FIND.sub(one, text), n
+            if start < end:
+                out.append(_card(f, run[0][start:end], back))
+                n += 1
+            at = run.start() + end
+    out.append(text[at:])
+    return "".join(out), n
 
 
 def redact(docs: DataFrame, key: bytes = b"for tests only", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
