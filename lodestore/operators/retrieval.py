@@ -26,15 +26,20 @@ def knn(embeddings: DataFrame, query: list[float], k: int = 20, threshold: float
 
 def knn_batch(embeddings: DataFrame, queries: DataFrame, k: int = 10, threshold: float = -1.0, rows_limit: int = 4096) -> DataFrame:
     """(query_id, uuid, cosine, rank) for many queries (query_id, query). Each task keeps its own k
-    best of a query before the rest is shuffled. The queries are broadcast, so their number is
-    checked; cut larger sets."""
-    if queries.count() > rows_limit:
-        raise ValidationError(f"more than {rows_limit} queries in one batch")
-    pairs = embeddings.select(F.col("memory_uuid").alias("uuid"), vectors.doubles(F.col("vector")).alias("v")).join(F.broadcast(queries.select("query_id", vectors.doubles(F.col("query")).alias("q"))), F.size("v") == F.size("q"))
-    scored = pairs.select("query_id", "uuid", vectors.cosine(F.col("v"), F.col("q")).alias("cosine")).where(F.col("cosine") >= threshold)
+    best of a query before the rest is shuffled. The queries are broadcast; more than rows_limit are
+    dealt by hash into blocks of about half as many, and each block is a pass over the vectors."""
+    blocks = 1 if (n := queries.count()) <= rows_limit else -(-2 * n // rows_limit)
+    queries = queries.select("query_id", vectors.doubles(F.col("query")).alias("q"))
+    rows = embeddings.select(F.col("memory_uuid").alias("uuid"), vectors.doubles(F.col("vector")).alias("v"))
     order = [F.desc(F.round("cosine", 9)), F.col("uuid")]
-    dealt = scored.withColumn("part", F.spark_partition_id())
-    few = dealt.withColumn("r", F.row_number().over(W.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k)
+    few = None
+    for block in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)) == block)
+        pairs = rows.join(F.broadcast(some), F.size("v") == F.size("q"))
+        scored = pairs.select("query_id", "uuid", vectors.cosine(F.col("v"), F.col("q")).alias("cosine")).where(F.col("cosine") >= threshold)
+        dealt = scored.withColumn("part", F.spark_partition_id())
+        best = dealt.withColumn("r", F.row_number().over(W.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k)
+        few = best if few is None else few.unionByName(best)
     return few.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "uuid", "cosine", "rank")
 
 

@@ -180,6 +180,15 @@ def cosine_pairs(spark, sf):
     return pairs.select("a", "b", r6(vectors.cosine(F.col("x"), F.col("y"))).alias("cosine"))
 
 
+@query("SELECT a.memory_uuid AS a, b.memory_uuid AS b, round(list_cosine_similarity(a.vector, b.vector), 6) AS cosine FROM emb a JOIN (SELECT * FROM emb WHERE memory_uuid IN (SELECT md5('m:' || vec_id) FROM embeddings WHERE vec_id % 50 = 0)) b ON true")
+def cosine_pairs_every_50th(spark, sf):
+    e = fx.state(spark, sf).embeddings.select("memory_uuid", "vector")
+    ids = fx.table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(fx._uuid("m", F.col("vec_id").cast("string")).alias("memory_uuid"))
+    some = e.join(ids, "memory_uuid", "left_semi")
+    pairs = e.select(F.col("memory_uuid").alias("a"), F.col("vector").alias("x")).crossJoin(some.select(F.col("memory_uuid").alias("b"), F.col("vector").alias("y")))
+    return pairs.select("a", "b", r6(vectors.cosine(F.col("x"), F.col("y"))).alias("cosine"))
+
+
 @query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS ok FROM embeddings")
 def vector_validate(spark, sf):
     return fx.table(spark, sf, "embeddings").select("vec_id", vectors.valid(F.col("embedding"), 64).alias("ok"))
@@ -287,6 +296,13 @@ def knn_batch(spark, sf):
     return retrieval.knn_batch(fx.state(spark, sf).embeddings, queries, 10).select("query_id", "uuid", r6("cosine").alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("""SELECT query_id, uuid, round(cosine, 6) AS cosine, rank FROM (SELECT query_id, memory_uuid AS uuid, list_cosine_similarity(vector, q) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(vector, q), 9) DESC, memory_uuid) AS rank
+FROM emb, (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0)) WHERE rank <= 10""")
+def knn_batch_every_50th(spark, sf):
+    queries = fx.table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.knn_batch(fx.state(spark, sf).embeddings, queries, 10).select("query_id", "uuid", r6("cosine").alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""SELECT uuid, round(greatest(-1.0, least(1.0, 1 - d * d / 2)), 6) AS cosine FROM (SELECT memory_uuid AS uuid, list_distance(list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))), list_transform(q, lambda x: x / sqrt(list_dot_product(q, q)))) AS d FROM emb, qv) ORDER BY round(d, 9), uuid LIMIT {K}""", SEMANTIC)
 def knn_l2(spark, sf):
     q = fx.query_vector(spark, sf)

@@ -331,3 +331,14 @@ def test_batch_recall_is_one_plan(spark, engine):
     engine.remember("a b c")
     plan = recall.recall(engine.state, "a", engine.embed("a"), RecallOptions())._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "TakeOrderedAndProject" in plan
+
+
+def test_knn_batch_goes_through_more_queries_than_the_limit(spark):
+    from lodestore.operators import retrieval
+
+    rows = [(f"u{i}", [float(i % 7) + 1, float(i % 5), float(i)]) for i in range(60)]
+    e = spark.createDataFrame(rows, "memory_uuid string, vector array<double>")
+    q = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows)], "query_id long, query array<double>")
+    want = {tuple(r) for r in retrieval.knn_batch(e, q, 3).collect()}
+    got = retrieval.knn_batch(e, q, 3, rows_limit=20).collect()
+    assert len(got) == 180 and {tuple(r) for r in got} == want
