@@ -208,6 +208,13 @@ def mock_embedding(spark, sf):
     return e.select("uuid", r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"), r6(F.get("v", F.lit(0))).alias("first"), r6(F.get("v", F.lit(63))).alias("last"))
 
 
+@query()
+def mock_embedding_memory(spark, sf):
+    """Of all memory contents, whole. It has no SQL."""
+    e = fx.memory(spark, sf).select("uuid", vectors.mock_embedding(F.col("content"), 64).alias("v"))
+    return e.select("uuid", r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"), r6(F.get("v", F.lit(0))).alias("first"), r6(F.get("v", F.lit(63))).alias("last"))
+
+
 @query("SELECT uuid, p_brand || ':wiki:brand,' || p_type || ':wiki' AS links FROM ptext")
 def extract_wikilinks(spark, sf):
     links = F.transform(extraction.wikilinks(F.col("content")), lambda e: F.concat_ws(":", e["name"], e["type"]))
@@ -482,11 +489,22 @@ def dedup_insert(spark, sf):
 
 @query("""SELECT seq, uuid, action = 'duplicate' AS duplicate, action = 'inserted' AS embedding_stored FROM outcome""", OUTCOMES.replace("sha256(content)", r"sha256(regexp_replace(content, '^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$', '', 'g'))"))
 def remember_batch(spark, sf):
-    batch = fx.batch(spark, sf)
-    _, out = writes.remember(fx.state(spark, sf), batch, NOW, vectors.mock_embedding, 64, extract_graph=False, check=False)
+    _, out = writes.remember(fx.state(spark, sf), fx.batch(spark, sf), NOW, vectors.mock_embedding, 64)
     return out.select("seq", "uuid", "duplicate", "embedding_stored")
 
 
+@query()
+def remember_batch_state(spark, sf):
+    """Of each table of the new state: its rows, and the sum of their hashes."""
+    new, _ = writes.remember(fx.state(spark, sf), fx.batch(spark, sf), NOW, vectors.mock_embedding, 64)
+    out = None
+    for name in ("memory", "memory_tags", "embeddings", "entities", "relations"):
+        rows = getattr(new, name)
+        digest = rows.select(F.xxhash64(*rows.columns).cast("decimal(38,0)").alias("h")).agg(F.lit(name).alias("table"), F.count("*").alias("n"), F.sum("h").cast("string").alias("digest"))
+        out = digest if out is None else out.unionByName(digest)
+    return out
+
+
 @query("SELECT memory_uuid, array_to_string(list_sort(list(tag)), ',') AS tags FROM (SELECT memory_uuid, tag FROM mtags UNION SELECT uuid, unnest(['kept', source]) FROM mem) GROUP BY 1")
 def tag_attach(spark, sf):
     m = fx.memory(spark, sf)

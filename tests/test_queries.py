@@ -57,3 +57,14 @@ def test_filters_reach_the_scan(spark):
     state = MemoryState(memory, None, None, None, None)
     text = for_listing(state, MemoryFilter(created_after=5)).select("id")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(doc_id,5)" in text and "text" not in text.split("ReadSchema")[1]
+
+
+def test_whole_documents_are_remembered_and_embedded(spark):
+    from lodestore.plans import fixtures as fx
+
+    before, after = fx.state(spark, SF), {r.table: r for r in catalogue.QUERIES["remember_batch_state"](spark, SF).collect()}
+    fresh = catalogue.QUERIES["dedup_insert"](spark, SF).where("action = 'inserted'").count()
+    assert fresh and after["memory"].n == before.memory.count() + fresh
+    assert after["embeddings"].n == before.embeddings.count() + fresh and after["memory_tags"].n > before.memory_tags.count()
+    assert after["entities"].n > before.entities.count() and after["relations"].n > before.relations.count()
+    assert catalogue.QUERIES["mock_embedding_memory"](spark, SF).count() == before.memory.count()
