@@ -21,19 +21,24 @@ class Encoder:
     ' word' after it. Only words that aren't in a bounded cache go to the library, many in one
     string, which is cut again at the ids whose bytes start with a space (one for each word). Words
     of letters only, or letters and one mark, are one or two parts to the pre-tokenizer; they go to
-    the library's BPE model directly. The ids equal those of encoding the whole text; tests hold them against that."""
+    the library's BPE model directly. The ids equal those of encoding the whole text; tests hold them against that.
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    The strings of special tokens in a text become those tokens, as the library does by default;
+    with ordinary=True they are encoded like other text."""
+
+    def __init__(self, path: str, cache_words: int = 300_000, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = ordinary
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = 1 + max(vocabulary.values())
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.starts = np.zeros(self.size, dtype=bool)
         self.starts[[i for w, i in vocabulary.items() if w.startswith("Ġ")]] = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (ordinary and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.code = self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I"
         self.marks = {c: self.whole(c).tobytes() for c in _MARKS}
         # the byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from U+0100 on
@@ -75,7 +80,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed as self.dtype; null: none."""
-        split = [None if not t or _MEETING.search(t) else t.split(" ") for t in texts]
+        split = [None if not t or _MEETING.search(t) or (self.added and self.added.search(t)) else t.split(" ") for t in texts]
         get = self.cache.get
         found = [None if words is None else list(map(get, words[1:])) for words in split]
         open_ = [i for i, x in enumerate(found) if x and None in x]
@@ -97,9 +102,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """One for each file and Python worker."""
-    return Encoder(path)
+    return Encoder(path, ordinary=ordinary)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
