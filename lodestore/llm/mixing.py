@@ -25,7 +25,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks_for, packed_rows, running, small, words_in, written
+from .shared import blocks_for, join_in_place, packed_rows, running, small, words_in, written
 
 WEIGHTS, SHARE, MOST, BLOCKS = (5, 2, 1), Fraction(3, 2), 2, 1000
 
@@ -114,7 +114,7 @@ def mixed_rows(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col
     rows = written(packed_rows(docs, _row=F.monotonically_increasing_id(), _text_hash=F.xxhash64(text), _i=id_.cast("long"), _s=source.cast("string"), _n=words_in(text)), "keyed")
     found = _mix(rows.select(F.col("_i").alias("doc_id"), F.col("_s").alias("source"), F.col("_n").alias("size"), "_text_hash", "_row"), seed, 24, "_text_hash", "_row")
     found = written(found.select(F.col("_row").alias("_key"), "_passes", "_part", F.col("size").alias("_size")), "mix")
-    rows = rows.join(small(found, found.count(), 96), F.col("_row") == F.col("_key"))
+    rows = join_in_place(rows, found, "_row", "_key", found.count(), 96, "inner", "mixed")
     whole = F.when(F.col("_part") == F.col("_size"), F.col("_passes") + F.when(F.col("_size") > 0, 1).otherwise(0)).otherwise(F.col("_passes")).cast("int")
     cut = (F.col("_part") > 0) & (F.col("_part") < F.col("_size"))
     text = F.col(f"_doc.`{text_col}`")

@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its rows, counted beforehand, need no more than this.
 BROADCAST_BYTES = 32 << 20
+BLOCK_ROWS = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
-    unset (tests on one machine), a temporary one."""
+    unset and all runs on one machine (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: driver and executors need a shared folder")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestore-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -37,9 +40,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def fits(rows: int, row_bytes: int) -> bool:
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df marked for broadcast if its counted rows fit the limit; else df, and Spark shuffles."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+    return F.broadcast(df) if fits(rows, row_bytes) else df
+
+
+def join_in_place(rows: DataFrame, side: DataFrame, row: str, key: str, n: int, row_bytes: int, how: str, name: str) -> DataFrame:
+    """rows join side on row = key, where rows (written, row from monotonically_increasing_id, so
+    that a file holds a run of it) may carry whole texts and never move. side's n rows are broadcast;
+    where they are too many for that, in slices: each is a range of row that has as many rows of side
+    as may be broadcast (counted by blocks of BLOCK_ROWS; the counts come to the driver), reads that
+    range of rows only, and is written. Each row of rows is read once either way."""
+    if fits(n, row_bytes):
+        return rows.join(F.broadcast(side), F.col(row) == F.col(key), how)
+    block = F.shiftright(F.col(key), BLOCK_ROWS.bit_length() - 1)
+    cuts, held = [], 0
+    for at, found in side.groupBy(block.alias("block")).count().orderBy("block").collect():
+        if held and not fits(held + found, row_bytes):
+            cuts.append(at * BLOCK_ROWS)
+            held = 0
+        held += found
+    path = new_folder(rows.sparkSession, name)
+    schema = None
+    for a, b in zip([None, *cuts], [*cuts, None]):
+        def inside(c: str) -> Column:
+            return (F.lit(True) if a is None else F.col(c) >= a) & (F.lit(True) if b is None else F.col(c) < b)
+
+        part = rows.where(inside(row)).join(F.broadcast(side.where(inside(key))), F.col(row) == F.col(key), how)
+        schema = part.schema
+        part.write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def packed_rows(docs: DataFrame, **columns: Column) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..deploy import ship
 from .components import components, local_roots
-from .shared import join_on_groups, packed_rows, small, written
+from .shared import join_in_place, join_on_groups, packed_rows, small, written
 from .tokens import slices
 
 WORDS, SEED, DISTANCE = 3, 42, 3
@@ -257,4 +257,4 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     prints = written(texts.mapInArrow(_fingerprints, StructType([*texts.schema.fields[:1], StructField("print", LongType())])), "prints")
     gone = _in_components(prints, F.min("first")).where(F.col("first.row") != F.col("component_id.row")).select(F.col("first.row").alias("_gone"))
     gone = written(gone, "gone")
-    return rows.join(small(gone, gone.count(), 64), F.col("_row") == F.col("_gone"), "left_anti").select("_doc.*")
+    return join_in_place(rows, gone, "_row", "_gone", gone.count(), 64, "left_anti", "kept").select("_doc.*")

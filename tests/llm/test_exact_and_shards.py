@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lodestore.llm import exact_dedup, mixing, sharding
+from lodestore.llm import exact_dedup, mixing, sharding, shared
 
 DOCS = "doc_id long, text string, source string, size string, _sha string"
 ROWS = [
@@ -46,6 +46,57 @@ def test_exact_dedup_of_a_hot_group_and_of_nothing(spark, monkeypatch):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.kept_rows(empty).count() == 0
 
 
+def test_beyond_broadcasts_texts_stay_where_they_are(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def record(self, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *args, **kwargs)
+
+    rows = [(i, "same" if i % 3 == 0 else f"t{i}" if i % 3 == 1 else f"u{i // 6}", "s", "", "") for i in range(3000)] + ROWS
+    docs = spark.createDataFrame(rows, DOCS).repartition(6)
+    monkeypatch.setattr(DataFrameWriter, "parquet", record)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(shared, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(exact_dedup, "HEAVY_PARTS", 10)
+    docs = shared.written(docs, "docs")
+    plans.clear()
+    kept = exact_dedup.kept_rows(docs)
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(lower(t), []).append(-1 if i is None else i)
+    got = sorted((lower(r.text), -1 if r.doc_id is None else r.doc_id) for r in kept.collect())
+    assert got == sorted((t, max(ids)) for t, ids in groups.items())
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    whole = [p for p in plans if "_doc" in p]
+    assert len(whole) > 20 and not any("Exchange hashpartitioning" in p or "Exchange rangepartitioning" in p or "SinglePartition" in p for p in whole)
+    assert any("Exchange hashpartitioning(_word" in p for p in plans)
+
+
+def test_the_filter_by_brute_force(spark):
+    """Bits set by two rows or more, from (word, mask) of each row; single texts mostly pass."""
+    docs = spark.createDataFrame([(i, f"t{i if i % 10 else 0}") for i in range(4000)], "doc_id long, text string")
+    word, mask = exact_dedup._place(1000)
+    hashed = docs.select("doc_id", exact_dedup.digest(F.col("text")).alias("_sha"), F.lit(0).alias("_row"))
+    hashed = hashed.select("*", word.alias("_word"), mask.alias("_mask"))
+    counts = {}
+    for r in hashed.collect():
+        assert 1 <= (r._mask & (1 << 64) - 1).bit_count() <= 2 and 0 <= r._word < 1000
+        for b in range(64):
+            if r._mask >> b & 1:
+                counts[r._word, b] = counts.get((r._word, b), 0) + 1
+    want = {}
+    for (w, b), n in counts.items():
+        if n > 1:
+            want[w] = want.get(w, 0) | 1 << b
+    bits = exact_dedup.repeated_bits(hashed, 4000)
+    assert {r._word: r._bits & (1 << 64) - 1 for r in bits.collect()} == want
+    maybe = {r.doc_id: r._maybe for r in exact_dedup.probe(hashed, bits, 4000).collect()}
+    assert all(maybe[i] for i in range(0, 4000, 10)) and sum(maybe.values()) < 400 + 0.05 * 3600
+
+
 @pytest.mark.parametrize("sizes,shards", [([8, 7, 6, 5, 4], 2), ([100, 1, 1, 1], 3), ([5], 4), ([], 2), ([3] * 48, 24), ([7, 7, 7], 1)])
 def test_differencing(sizes, shards):
     where = sharding.differencing(sizes, shards)
