@@ -11,8 +11,12 @@ A network over pairs (left, right) adds a keyed hash of one half to the other, m
 size, in turn; that is a permutation for any two sizes. Values that must also satisfy a rule are
 walked along their cycle until they do. Of digits in a row with a card among them the longest valid
 run is the card; a number beside one can, one time in ten, make a longer valid run of it, in the text
-or in what it becomes, and then the way back isn't sure. Defined results: null text stays null with 0 found; a text
-without any is returned as it is. The key is a parameter; the default is for tests only.
+or in what it becomes, and then the way back isn't sure. An IBAN is as long as its country's are, in
+any letter case; what follows it isn't part of it. The country code
+of a number after + is told by the E.164 plan, so that it isn't permuted. Dates are those of 1900 to 2099
+in numbers. Where a kind doesn't validate the others are tried at the same place, then the next word.
+Defined results: null text stays null with 0 found; a text without any is returned as it is. The key
+has no default.
 """
 
 from __future__ import annotations
@@ -121,12 +125,22 @@ def _iban_check(country: str, body: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
+#: How long an IBAN of a country is.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "XK": 20,
+}
+
+
 def _iban(f: Feistel, text: str, back: bool) -> str | None:
-    flat = text.replace(" ", "")
-    if not 15 <= len(flat) <= 34 or _iban_check(flat[:2], flat[4:]) != flat[2:4]:
+    flat = text.replace(" ", "").upper()
+    if len(flat) != IBAN_LENGTH.get(flat[:2]) or _iban_check(flat[:2], flat[4:]) != flat[2:4]:
         return None
     body = f.word(f"iban{flat[:2]}", flat[4:], back)
-    return _poured(text, flat[:2] + _iban_check(flat[:2], body) + body)
+    new = _poured(text, flat[:2] + _iban_check(flat[:2], body) + body)
+    return "".join(c.lower() if was.islower() else c for was, c in zip(text, new))
 
 
 def _ssn_valid(d: str) -> bool:
@@ -138,12 +152,19 @@ def _ssn(f: Feistel, text: str, back: bool) -> str | None:
     return _poured(text, f.digits("ssn", digits, _ssn_valid, back)) if _ssn_valid(digits) else None
 
 
+#: Country codes of two digits; those that start with 1 or 7 have one, all others three.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def country_code(digits: str) -> str:
+    return digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in TWO_DIGITS else digits[:3]
+
+
 def _phone(f: Feistel, text: str, back: bool) -> str | None:
     digits = re.sub(r"\D", "", text)
     if not 8 <= len(digits) <= 15:
         return None
-    country = re.match(r"\+(\d{1,3})[\s(.-]", text)
-    head = country[1] if country else "1" if text.startswith("+1") else ""
+    head = country_code(digits) if text.startswith("+") else ""
     if not head and len(digits) != 10:
         return None
     return _poured(text, head + f.digits("phone" + (head or "1"), digits[len(head) :], back=back))
@@ -182,17 +203,28 @@ def _email(f: Feistel, text: str, back: bool) -> str | None:
 
 
 KINDS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
-_OTHERS = (
-    r"(?P<email>(?<![\w.+%-])[\w.+%-]+@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+)"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))"
-    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
-    r"|(?P<date>(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-]|\.\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-]))"
-)
+_PATTERNS = {
+    "email": r"(?<![\w.+%-])[\w.+%-]+@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+",
+    "iban": r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,4})?(?![A-Za-z0-9])",
+    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
+    "date": r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-]|\.\d)",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?<![\w+])\+\d{8,15}(?![\w-])|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-])",
+}
+_OTHERS = "|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items())
 _RUN = r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-]|\.\d))"
 _FIND, _FIND_OTHERS, _FIND_RUN = re.compile(f"{_OTHERS}|{_RUN}"), re.compile(_OTHERS), re.compile(_RUN)
-_ANY = re.compile(r"[0-9@]")
+_KIND = {k: re.compile(p) for k, p in _PATTERNS.items()}
+_ANY, _WORD = re.compile(r"[0-9@]"), re.compile(r"[^\W_]+|.", re.DOTALL)
+
+
+def _valid(f: Feistel, kind: str, found: str, back: bool) -> tuple[str, int] | None:
+    """The pseudonym of what was found, or of its start, and how many characters of it that replaces."""
+    ends = [m.start() for m in re.finditer(" ", found)][::-1] if kind == "iban" else []
+    for end in [len(found), *ends]:
+        if (new := KINDS[kind](f, found[:end], back)) is not None:
+            return new, end
+    return None
 
 
 def _cards_in(text: str) -> list[tuple[int, int]]:
@@ -233,18 +265,17 @@ def _replaced(f: Feistel, text: str, back: bool, find: re.Pattern) -> tuple[str,
         out.append(text[at : m.start()])
         kind, run = m.lastgroup, m
         if kind != "card":
-            new = KINDS[kind](f, m[0], back)
+            tried = [(kind, m[0]), *((k, x[0]) for k, p in _KIND.items() if k != kind and (x := p.match(text, m.start())))]
+            new = next((found for k, s in tried if (found := _valid(f, k, s, back))), None)
             if new is not None:
-                out.append(new)
-                n, at = n + 1, m.end()
+                out.append(new[0])
+                n, at = n + 1, m.start() + new[1]
                 continue
-            # what isn't valid may hold the start of a card
-            run = _FIND_RUN.search(text, m.start()) if find is _FIND else None
-            if run is None or run.start() >= m.end():
-                out.append(m[0])
-                at = m.end()
+            run = _FIND_RUN.match(text, m.start()) if find is _FIND else None
+            if run is None:  # on with the next word
+                at = _WORD.match(text, m.start()).end()
+                out.append(text[m.start() : at])
                 continue
-            out.append(text[m.start() : run.start()])
         at = run.start()
         for start, end in [*_cards_in(run[0]), (len(run[0]), len(run[0]))]:
             between, found = _replaced(f, text[at : run.start() + start], back, _FIND_OTHERS)
@@ -258,7 +289,7 @@ def _replaced(f: Feistel, text: str, back: bool, find: re.Pattern) -> tuple[str,
     return "".join(out), n
 
 
-def redact(docs: DataFrame, key: bytes = b"for tests only", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_values for each row of docs."""
 
     ship(docs.sparkSession)

@@ -8,6 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The key of the query's pseudonyms; the tables are made up. Users of the operator pass their own.
+PII_KEY = b"key of the registered query"
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -46,7 +50,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import redact
 
-    return redact(_documents(spark, sf_dir))
+    return redact(_documents(spark, sf_dir), key=PII_KEY)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +62,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_shard", "last_shard")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +110,14 @@ s4 AS (SELECT source, s3.size, n, i, least(2.0 * s3.size, level.each * w) AS tar
 b AS (SELECT greatest(1, floor(min(target) FILTER (target > 0) / 1000 + 1e-9))::BIGINT AS block, sum(target) AS goals, max(n) AS most FROM s4),
 seats AS (SELECT block, round(goals / block)::BIGINT AS seats, greatest(1, ceil(most / greatest(2000, floor(sqrt(most)))))::BIGINT AS blocks FROM b),
 quotients AS (SELECT i, target / (2 * q + 1) AS quotient FROM (SELECT i, target, unnest(range(0, (target / block)::BIGINT + 3)) AS q FROM s4, seats WHERE target > 0)),
-quota AS (SELECT i, count(*) AS quota FROM (SELECT i, row_number() OVER (ORDER BY quotient DESC, i) AS r FROM quotients), seats WHERE r <= seats GROUP BY i),
+dealt AS (SELECT i, r, row_number() OVER (PARTITION BY i ORDER BY r) - 1 AS j, (24 * r + seats - 1) // seats - 1 AS shard
+  FROM (SELECT i, row_number() OVER (ORDER BY quotient DESC, i) AS r FROM quotients), seats WHERE r <= seats),
+quota AS (SELECT i, count(*) AS quota FROM dealt GROUP BY i),
 s5 AS (SELECT s4.*, least(coalesce(quota, 0) * block, 2 * size)::BIGINT AS words, blocks FROM s4 LEFT JOIN quota USING (i), seats),
-x AS (SELECT d.doc_id, d.size, s5.size AS source_size, target, words, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substring(ord, 1, 8))::BIGINT % blocks, ord, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source)
-SELECT doc_id, size, source_size, target, (words // greatest(source_size, 1) * size + greatest(0, least(size, words % greatest(source_size, 1) - before)))::BIGINT AS taken FROM x""",
+x AS (SELECT d.doc_id, d.size, i, s5.size AS source_size, target, words, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substring(ord, 1, 8))::BIGINT % blocks, ord, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
+y AS (SELECT *, words // greatest(source_size, 1) AS passes, greatest(0, least(size, words % greatest(source_size, 1) - before)) AS part FROM x),
+z AS (SELECT y.*, passes * size + part AS taken, CASE WHEN part > 0 THEN passes * source_size + before + part ELSE (passes - 1) * source_size + before + size END - 1 AS final FROM y)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, CASE WHEN taken > 0 THEN a.shard END::INTEGER AS first_shard, CASE WHEN taken > 0 THEN b.shard END::INTEGER AS last_shard
+FROM z CROSS JOIN seats LEFT JOIN dealt a ON a.i = z.i AND a.j = z.before // block LEFT JOIN dealt b ON b.i = z.i AND b.j = z.final // block""",
 }

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -129,3 +130,74 @@ def test_cards_beside_other_numbers(text, n):
     if "4111" in text:
         card = pii.pseudonymise("4111 1111 1111 1111", KEY)[0]
         assert card in new.replace("-", " ")
+
+
+@pytest.mark.parametrize("text,value", [("BE68 5390 0754 7034 EUR 500", "BE68 5390 0754 7034"), ("ES91 2100 0418 4502 0005 1332 BIC", "ES91 2100 0418 4502 0005 1332"), ("gb82 west 1234 5698 7654 32 now", "gb82 west 1234 5698 7654 32"), ("AB12 GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32"), ("DE89370400440532013000 was paid", "DE89370400440532013000"), ("call +442079460958 now", "+442079460958"), ("+33123456789", "+33123456789")])
+def test_values_beside_words(text, value):
+    new, n = pii.pseudonymise(text, KEY)
+    assert n == 1 and value not in new and len(new) == len(text)
+    at = text.index(value)
+    assert new[:at] == text[:at] and new[at + len(value) :] == text[at + len(value) :]
+    assert pii.pseudonymise(new, KEY, back=True) == (text, 1)
+
+
+def test_links_hold_for_telephone_numbers_and_ibans():
+    a, b = (pii.pseudonymise(t, KEY)[0] for t in ("+44 20 7946 0958", "+442079460958"))
+    assert a.replace(" ", "") == b and b.startswith("+44")
+    a, b, c = (pii.pseudonymise(t, KEY)[0] for t in ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "gb82west12345698765432"))
+    assert a.replace(" ", "") == b == c.upper()
+
+
+def brute_values(text):
+    """Spans of valid values by trying every substring of whole words, by plain rules."""
+    for m in re.finditer(r"(?<![\w.-])\d+(?:[ -]\d+)*", text):  # cards: any numbers in a row
+        pieces = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"\d+", m[0])]
+        for i, (start, _) in enumerate(pieces):
+            for _, end in pieces[i:]:
+                flat = re.sub(r"[ -]", "", text[start:end])
+                double = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(flat))]
+                if 13 <= len(flat) <= 19 and flat[0] in "23456" and sum(d // 10 + d % 10 for d in double) % 10 == 0:
+                    yield start, end
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    for i, (start, _) in enumerate(words):
+        for _, end in words[i : i + 9]:
+            s = text[start:end].rstrip(".,;")
+            iban = s.replace(" ", "").upper()
+            if re.fullmatch(r"[A-Z]{2}\d\d[A-Z0-9]{11,30}", iban) and pii.IBAN_LENGTH.get(iban[:2]) == len(iban) and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1:
+                yield start, start + len(s)
+            if re.fullmatch(r"\d{3}-\d\d-\d{4}", s) and s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000":
+                yield start, start + len(s)
+            if m := re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", s):
+                if 1900 <= int(m[1]) < 2100 and 1 <= int(m[2]) <= 12 and 1 <= int(m[3]) <= 28:
+                    yield start, start + len(s)
+            if re.fullmatch(r"\+\d{8,15}", s):
+                yield start, start + len(s)
+
+
+def test_detection_by_brute_force():
+    """Every value that some substring is, is replaced; texts without any stay."""
+    rng, seen = random.Random(3), 0
+    cards = ["4111 1111 1111 1111", "5500005555555559", "3782-822463-10005", "6011000990139424"]
+    others = ["GB82 WEST 1234 5698 7654 32", "be68539007547034", "DE89 3704 0044 0532 0130 00", "123-45-6789", "1987-03-14", "+442079460958", "+4930901820"]
+    plain = ["paid", "order", "EUR", "BIC", "on", "AB12", "GB82", "7", "42", "x9", "route", "13", "2024", "000-12-3456", "4111111111111112", "v1.2", "the"]
+    for _ in range(400):
+        parts = [rng.choice(plain) for _ in range(rng.randint(0, 8))]
+        for value in rng.sample(cards + others, rng.randint(0, 2)):
+            parts.insert(rng.randint(0, len(parts)), value)
+        text = " ".join(parts)
+        spans = list(brute_values(text))
+        new, n = pii.pseudonymise(text, KEY)
+        assert len(new) == len(text) and bool(n) == bool(spans), text
+        for a, b in spans:
+            seen += 1
+            assert new[a:b] != text[a:b], (text, text[a:b], new)
+        changed = {i for i in range(len(text)) if new[i] != text[i]}
+        assert changed <= {i for a, b in spans for i in range(a, b)}, (text, new)
+    assert seen > 300
+
+
+def test_different_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (4, [0.012, 1.0], 1)]
+    docs = spark.createDataFrame([(*r, "", "") for r in rows], VECTORS)
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_dedup(docs).collect())
+    assert found == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
