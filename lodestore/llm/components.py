@@ -7,13 +7,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import join_on_groups, written
+
+HEAVY_AT, HEAVY_PARTS = 1000, 10_000
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
 
+def _with_least(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(src, m): the smallest dst of each src; and rows joined with it. Rows of a src that has many (a
+    large star's centre) stay where they are."""
+    least = rows.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("_n"))
+    heavy_at = max(HEAVY_AT, total // HEAVY_PARTS)
+    heavy = least.where(F.col("_n") >= heavy_at).count() if total >= heavy_at else 0
+    return least, join_on_groups(rows, least, "src", heavy, heavy_at, "_n")
+
+
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """edges (src long, dst long) -> (node, root): root is the smallest node that node reaches.
     Nodes without an edge to another are not in it. Each round's edges are written to the shared
@@ -25,10 +36,10 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         if not state[0]:
             break
         both = edges.union(edges.select("dst", "src"))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        down = large.join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
+        _, joined = _with_least(both, 2 * state[0])
+        large = joined.where("dst > src").select(F.col("dst").alias("src"), F.least("src", "m").alias("dst")).where("src <> dst").distinct()
+        low, joined = _with_least(large, state[0])
+        down = joined.select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
         edges = written(down.union(low.select("src", "m")).distinct(), "edges")
         state, last = _state(edges), state
         if state == last:

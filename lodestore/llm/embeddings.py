@@ -129,11 +129,11 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     key = F.when(F.col("usable"), F.unhex(F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.col("vector").cast("array<string>"), ",")), 256)))
     rows = written(rows.withColumn("key", key), "vectors")
     total = rows.count()
-    groups = rows.where("usable").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    groups = written(groups, "distinct-vectors")
+    groups = rows.where("usable").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    groups = written(groups.withColumn("id", F.monotonically_increasing_id()), "distinct-vectors")  # ids of vectors may repeat
     lengths = groups.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dims = lengths["d"] if lengths else 0
-    sample = [r["vector"] for r in groups.where(F.size("vector") == dims).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()] if dims else []
+    sample = [r["vector"] for r in groups.where(F.size("vector") == dims).orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vector").collect()] if dims else []
     axes = principal_axes(np.array(sample)) if sample else np.zeros((0, 0))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v))
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
@@ -175,9 +175,12 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     found = written(found, "vector-links")
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")))
-    labelled = groups.select("key", "id", "n").join(sums, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    labelled = written(labelled.select("key", F.col("n"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id")), "labelled-vectors")
+    labelled = groups.select("key", "id", "n", "least").join(sums, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    labelled = written(labelled.select("key", "n", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root")), "rooted-vectors")
+    of_root = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     heavy_at = max(1000, total // 10_000)
+    many = of_root.where(F.col("members") >= heavy_at).count()
+    labelled = written(join_on_groups(labelled, of_root, "root", many, heavy_at, "members").select("key", "n", "n_links", "component_id"), "labelled-vectors")
     heavy = labelled.where(F.col("n") >= heavy_at).count()
     linked = join_on_groups(rows.where("usable").select("vec_id", "key"), labelled, "key", heavy, heavy_at, "n").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -14,7 +14,8 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[list[str]], list[int]]:
     """Texts of class 0 and of class 1, at most `most` of each (the lowest hashes of their ids), none
-    of them held out; and how many rows each class has in all. Ids with both labels are left out."""
+    of them held out; and how many rows each class has in all. Ids with both labels are left out; of
+    rows that repeat an id the least text counts."""
     rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).where("_label IN (0, 1) AND _id IS NOT NULL").where(~held_out(F.col("_id")))
     rows = rows.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).where("_label = _most").drop("_most")
     counts = dict(rows.groupBy("_label").count().collect())
@@ -22,8 +23,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_
     some = rows.where("_label = 0").orderBy(*order).limit(most).unionByName(rows.where("_label = 1").orderBy(*order).limit(most))
     texts: list[list[str]] = [[], []]
     found = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(some), "_id")  # at most 2 * most rows
-    for _, text, y in sorted(map(tuple, found.select("_id", "_text", "_label").collect()), key=lambda r: (r[0], r[1] or "")):
-        texts[y].append(text or "")
+    found = found.groupBy("_id").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"), F.min("_label").alias("_label"))
+    for _, text, y in sorted(map(tuple, found.collect()), key=lambda r: r[0]):
+        texts[y].append(text)
     return texts, [counts.get(0, 0), counts.get(1, 0)]
 
 

@@ -9,8 +9,9 @@
    grows, so a shard's quotas are the difference of two apportionments.
 3. Selection: a source's documents stand in a seeded order (MD5 of seed and id) and form one
    stream of words, cut into blocks. Quotas are filled with the blocks from the stream's start, and
-   from its start again after its end. So a document is taken whole once, twice or not at all;
-   in each source at most one is cut, at the last block's end.
+   from its start again after its end: the first shard's quota first, then the next one's. So a
+   document is taken whole once, twice or not at all; in each source at most one is cut, at the
+   last block's end. `shards` lists how many words of a document go to which shard.
 
 Only the list of sources (name, words) comes to the driver. Positions are sums over blocks of
 rows, so one source may hold most of the corpus. Defined results: a null text has size 0 and is
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import blocks_for, join_in_place, packed_rows, running, small, words_in, written
@@ -68,7 +69,8 @@ def sainte_lague(goals: list[Fraction], seats: int) -> list[int]:
 
 
 def plan(sizes: list[tuple[str | None, int]], shards: int = 24, blocks: int = BLOCKS) -> tuple[list[dict], int]:
-    """For each source: source, source_size, target, quotas (one for each shard), words taken."""
+    """For each source: source, source_size, target, quotas (blocks, one for each shard), ends (where
+    they end in the source's stream of words), words taken."""
     goal = targets(sizes)
     names = sorted(goal, key=lambda s: (s is None, (s or "").encode()))
     size, goals = dict(sizes), [goal[s] for s in names]
@@ -78,13 +80,15 @@ def plan(sizes: list[tuple[str | None, int]], shards: int = 24, blocks: int = BL
     out = []
     for i, s in enumerate(names):
         quotas = [b[i] - a[i] for a, b in zip([[0] * len(names), *upto[:-1]], upto)]
-        out.append({"source": s, "source_size": size[s], "target": float(goal[s]), "quotas": quotas, "words": min(sum(quotas) * block, MOST * size[s])})
+        ends = [min(b[i] * block, MOST * size[s]) for b in upto]  # of the stream's words, where each shard's blocks end
+        out.append({"source": s, "source_size": size[s], "target": float(goal[s]), "quotas": quotas, "ends": ends, "words": ends[-1]})
     return out, block
 
 
 def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 24) -> DataFrame:
-    """doc_id, size, source_size, target, taken; also source, _from (words before it in its source's
-    stream) and _words (words of the stream that the mix takes in all)."""
+    """doc_id, size, source_size, target, taken, source; shards: (shard, words) of each shard that takes
+    some of its words, and first_shard and last_shard, those of its first and last taken word (null
+    if none is)."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size"))
     return _mix(rows, seed, shards)
 
@@ -95,14 +99,29 @@ def _mix(rows: DataFrame, seed: int, shards: int, *keys: str) -> DataFrame:
     rows = written(rows.withColumn("_order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))), "counted")
     summed = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
     planned, _ = plan([(r["source"], r["size"]) for r in summed], shards)
-    given = spark.createDataFrame([(p["source"], p["source_size"], p["target"], p["words"]) for p in planned], "_source string, source_size long, target double, _words long")
+    given = spark.createDataFrame([(p["source"], p["source_size"], p["target"], p["words"], p["ends"]) for p in planned], "_source string, source_size long, target double, _words long, _ends array<long>")
     blocks = blocks_for(max([r["n"] for r in summed], default=0))
     block = F.pmod(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.lit(blocks))
     rows = running(rows, ["source"], block, [F.col("_order"), F.col("doc_id"), F.col("size"), *map(F.col, keys)], F.col("size"), "_from")
     rows = rows.join(small(given, len(planned), 256), F.col("source").eqNullSafe(F.col("_source")), "left")
     passes, rest = F.expr("_words div greatest(source_size, 1L)"), F.expr("_words % greatest(source_size, 1L)")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("_from")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).alias("taken"), part.alias("_part"), passes.alias("_passes"), *keys)
+    rows = rows.select("*", (passes * F.col("size") + part).alias("taken"), part.alias("_part"), passes.alias("_passes"))
+
+    def shard_at(word: Column) -> Column:
+        return F.when(F.col("taken") > 0, F.size(F.filter("_ends", lambda e: e <= word)))
+
+    last = F.when(F.col("_part") > 0, F.col("_passes") * F.col("source_size") + F.col("_from") + F.col("_part") - 1).otherwise((F.col("_passes") - 1) * F.col("source_size") + F.col("_from") + F.col("size") - 1)
+    ranges = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_passes")), lambda k: F.struct((k * F.col("source_size") + F.col("_from")).alias("a"), F.when(k < F.col("_passes"), F.col("size")).otherwise(F.col("_part")).alias("n")))
+
+    def share(end: Column, i: Column) -> Column:
+        start = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at("_ends", F.when(i == 0, 1).otherwise(i)))
+        words = F.aggregate(ranges, F.lit(0).cast("long"), lambda s, x: s + F.greatest(F.lit(0).cast("long"), F.least(end, x["a"] + x["n"]) - F.greatest(start, x["a"])))
+        return F.struct(i.alias("shard"), words.alias("words"))
+
+    rows = rows.withColumn("first_shard", shard_at(F.col("_from"))).withColumn("last_shard", shard_at(last))
+    dealt = F.filter(F.transform("_ends", share), lambda x: x["words"] > 0)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "first_shard", "last_shard", dealt.alias("shards"), "_part", "_passes", *keys)
 
 
 def mixed_rows(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

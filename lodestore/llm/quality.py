@@ -5,7 +5,7 @@ The whole text is compressed in pieces of PIECE bytes (in one run the text's own
 outweigh the dictionary). The score is a logistic function, calibrated on labelled rows that the
 dictionaries haven't seen, of the normalised difference (bad - good) / max(bad, good) of the
 summed sizes and of the compression ratio. Learned from at most SAMPLE labelled texts of each
-class (by hash of their ids), up to PARTS pieces of each, spread over it.
+class (by hash of their ids), from all pieces of each.
 
 Defined results: null and empty texts count as one empty piece, difference 0. With no rows of a
 class the score is constant: the other class.
@@ -24,21 +24,31 @@ from pyspark.sql import functions as F
 from ..deploy import ship
 from .labelled import Constant, Logistic, class_weights, held_out, training_rows
 
-SAMPLE, PARTS, PIECE, DICTIONARY, LEVEL = 3000, 6, 1024, 64 << 10, 3
+SAMPLE, PIECE, DICTIONARY, LEVEL = 3000, 1024, 64 << 10, 3
+LEAST = 8  # bytes of a sample for a dictionary
 THRESHOLD = 0.3
 
 
-def _parts(text: str) -> list[bytes]:
-    data = text.encode()
-    last = max(0, len(data) - PIECE)
-    return [data[a : a + PIECE] for a in sorted({int(a) for a in np.linspace(0, last, min(PARTS, 1 + last // PIECE))})]
+def _parts(texts: list[str]) -> list[bytes]:
+    """All bytes of the texts in pieces as they are compressed; a short one goes on in the next."""
+    out, held = [], b""
+    for text in texts:
+        data = text.encode()
+        for at in range(0, len(data), PIECE):
+            held += data[at : at + PIECE]
+            if len(held) >= LEAST:
+                out.append(held)
+                held = b""
+    return [*out[:-1], out[-1] + held] if out else [held]
 
 
 def dictionary(texts: list[str]) -> bytes:
-    parts = [p for t in texts for p in _parts(t) if len(p) >= 8]
+    """A trained dictionary; where there are too few samples to train one, the end of the text, as much
+    as a dictionary holds."""
+    parts = _parts(texts)
     try:
         return zstandard.train_dictionary(DICTIONARY, parts, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # too few samples: the text itself
+    except zstandard.ZstdError:
         return b"".join(parts)[-DICTIONARY:]
 
 

@@ -62,7 +62,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) for each row."""
     spark, text = docs.sparkSession, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     bundle = F.pmod(F.xxhash64("_sha"), F.lit(shards * PARTS)).cast("int")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_sha"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_sha"), F.monotonically_increasing_id().alias("_row"))
     rows = written(rows.withColumn("_bundle", bundle), "sized")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     alone_at = max(1, total // (shards * PARTS))
@@ -74,7 +74,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     alone = spark.createDataFrame([(r["_alone"], s) for r, s in zip(items, where) if r["_alone"] is not None], "_sha binary, _shard_a int")
     bundles = spark.createDataFrame([(r["_bundle"], s) for r, s in zip(items, where) if r["_alone"] is None], "_bundle int, _shard_b int")
     placed = rows.join(small(alone, len(items), 64), "_sha", "left").join(small(bundles, len(items), 32), "_bundle", "left")
-    placed = written(placed.select("doc_id", "size", "text_crc32", F.coalesce("_shard_a", "_shard_b").alias("shard")), "placed")
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks_for(n // shards + 1)))
-    placed = running(placed, ["shard"], block, [F.col("doc_id"), F.col("text_crc32")], F.lit(1).cast("long"), "slot")
+    placed = written(placed.select("doc_id", "size", "text_crc32", "_row", F.coalesce("_shard_a", "_shard_b").alias("shard")), "placed")
+    block = F.pmod(F.xxhash64("doc_id", "_row"), F.lit(blocks_for(n // shards + 1)))  # rows that repeat an id too are dealt out
+    placed = running(placed, ["shard"], block, [F.col("doc_id"), F.col("text_crc32"), F.col("_row")], F.lit(1).cast("long"), "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

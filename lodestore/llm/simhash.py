@@ -238,10 +238,12 @@ def _in_components(rows: DataFrame, least: Column) -> DataFrame:
     edges = placed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_link, "src long, dst long")
     roots = components(edges)
     labelled = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    of_root = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = written(labelled.join(of_root, "root").select("print", "component_id", "n"), "labelled")
+    labelled = written(labelled, "rooted")
+    of_root = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
     total = rows.count()
     heavy_at = max(1000, total // 10_000)
+    many = of_root.where(F.col("prints") >= heavy_at).count()
+    labelled = written(join_on_groups(labelled, of_root, "root", many, heavy_at, "prints").select("print", "component_id", "n"), "labelled")
     heavy = labelled.where(F.col("n") >= heavy_at).count()
     return join_on_groups(rows, labelled, "print", heavy, heavy_at, "n")
 

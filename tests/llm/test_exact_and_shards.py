@@ -198,3 +198,47 @@ def test_shard_quotas_add_up():
     planned, block = mixing.plan([("a", 1000), ("b", 5000), (None, 700)], shards=24)
     assert all(min(p["quotas"]) >= 0 for p in planned)
     assert all(abs(sum(p["quotas"]) * block - p["target"]) <= block for p in planned)
+
+
+def test_shards_of_blocks_by_brute_force(spark):
+    """Every word of each source's stream by itself: which block it is in, and whose quota that fills."""
+    rows = [(i, f"w{i} " * (i % 13), None if i % 11 == 0 else "hot" if i % 3 else f"s{i % 5}", "", "") for i in range(400)] + [(None, "no id here", "hot", "", "")] * 2
+    found = mixing.mix(spark.createDataFrame(rows, DOCS), shards=5).collect()
+    sizes = {}
+    for i, t, s, *_ in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    planned, block = mixing.plan(list(sizes.items()), 5)
+    blocks = mixing.blocks_for(max(sum(1 for r in rows if r[2] == s) for s in sizes))
+    for p in planned:
+        owner = [k for k, q in enumerate(p["quotas"]) for _ in range(q * block)][: 2 * p["source_size"]]
+        md5 = lambda r: hashlib.md5(f"42:{'null' if r.doc_id is None else r.doc_id}".encode()).hexdigest()
+        stream = sorted((r for r in found if r.source == p["source"]), key=lambda r: (int(md5(r)[:8], 16) % blocks, md5(r)))
+        got = {}
+        words = [(k, r) for k, r in enumerate(stream) for _ in range(r["size"])]
+        for at, shard in enumerate(owner):
+            got.setdefault(words[at % len(words)][0], []).append(shard)
+        for k, r in enumerate(stream):
+            mine = got.get(k, [])
+            assert r.taken == len(mine) and {x.shard: x.words for x in r.shards} == {s: mine.count(s) for s in set(mine)}
+            assert (r.first_shard, r.last_shard) == ((min(mine), max(mine)) if mine else (None, None))
+
+
+def test_slots_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, f"t {i % 900}", "s", "", "") for i in range(5000)] + [(None, "n", "s", "", "")] * 50, DOCS)
+    slots = {}
+    for r in sharding.shard(docs, 3).collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sorted(map(len, slots.values())) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_differencing_near_the_best(seed):
+    """Against all divisions of a few items: the largest shard is at most 7/6 of the best one (two shards)."""
+    import itertools
+    import random
+
+    sizes = [random.Random(seed).randint(1, 60) for _ in range(10)]
+    where = sharding.differencing(sizes, 2)
+    got = max(sum(x for x, s in zip(sizes, where) if s == k) for k in (0, 1))
+    best = min(max(sum(x for x, s in zip(sizes, p) if s == k) for k in (0, 1)) for p in itertools.product((0, 1), repeat=10))
+    assert best <= got <= best * 7 / 6

@@ -105,3 +105,13 @@ def test_components_of_a_path_a_star_and_nothing(spark):
     roots = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert roots == {i: 0 for i in range(201)} | {1000: 1000} | {2000 + i: 1000 for i in range(500)}
     assert components.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_components_with_heavy_centres(spark, monkeypatch):
+    from lodestore.llm import components as module
+
+    monkeypatch.setattr(module, "HEAVY_AT", 5)
+    monkeypatch.setattr(module, "HEAVY_PARTS", 10)
+    edges = [(1000, i) for i in range(200)] + [(2000 + i, 5000) for i in range(300)] + [(5000, 7000), (7000, 7001)]
+    found = dict(map(tuple, module.components(spark.createDataFrame(edges, "src long, dst long")).collect()))
+    assert found == {**{i: 0 for i in range(200)}, 1000: 0, **{2000 + i: 2000 for i in range(300)}, 5000: 2000, 7000: 2000, 7001: 2000}
