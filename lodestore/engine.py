@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import NotFoundError, ValidationError
+from .errors import ConflictError, NotFoundError, ValidationError
 from .operators import catalog, forget, graph, recall, writes
+from .operators.cut import cut
 from .operators.filters import MemoryFilter
 from .operators.recall import RecallOptions
 from .sources.embedding import EmbeddingProvider, MockProvider
@@ -22,6 +23,17 @@ class MemoryEngine:
     def __init__(self, spark: SparkSession, root: str, provider: EmbeddingProvider | None = None, clock: Callable[[], int] = lambda: int(time.time())):
         self.spark, self.store, self.provider, self.clock = spark, Store.open(spark, root), provider or MockProvider(), clock
 
+    def _change(self, make: Callable[[MemoryState], tuple], tries: int = 5):
+        """Commits make(state)'s first and returns its second; made anew where another writer was first."""
+        for left in reversed(range(tries)):
+            state, result = make(self.state)
+            try:
+                self.store.commit(state)
+                return result
+            except ConflictError:
+                if not left:
+                    raise
+
     @property
     def state(self) -> MemoryState:
         return self.store.load()
@@ -32,10 +44,13 @@ class MemoryEngine:
     def remember_batch(self, rows: DataFrame, embed: bool = True, extract_graph: bool = True) -> DataFrame:
         """rows (seq, uuid, content, source, importance, tags); ids must be stable when recomputed."""
         meta = self.provider.meta
-        state, out = writes.remember(self.state, rows, self.clock(), self.provider.column if embed else None, meta.dims, extract_graph, meta.provider, meta.model)
-        out = self.spark.createDataFrame(out.collect(), out.schema) if out.limit(10_001).count() <= 10_000 else out.checkpoint()
-        self.store.commit(state)
-        return out
+        now = self.clock()
+
+        def make(state: MemoryState) -> tuple:
+            new, out = writes.remember(state, rows, now, self.provider.column if embed else None, meta.dims, extract_graph, meta.provider, meta.model)
+            return new, cut(out)
+
+        return self._change(make)
 
     def remember(self, content: str, source: str = "agent", importance: float = 0.5, tags: list[str] | None = None, expires_at: int | None = None, metadata_json: str = "{}", embed: bool = True, extract_graph: bool = True) -> dict:
         schema = "seq long, uuid string, content string, source string, importance double, tags array<string>, expires_at long, metadata_json string"
@@ -54,7 +69,8 @@ class MemoryEngine:
         hits = recall.recall(state, query, vector, options)
         hits = self.spark.createDataFrame(hits.collect(), hits.schema)  # at most top_k rows
         if feedback and not hits.isEmpty():
-            self.store.commit(recall.apply_feedback(state, hits.select("uuid"), self.clock()))
+            now = self.clock()
+            self._change(lambda state: (recall.apply_feedback(state, hits.select("uuid"), now), None))
         return hits
 
     def get(self, uuid: str) -> dict:
@@ -67,32 +83,37 @@ class MemoryEngine:
         return catalog.list_memories(self.state, f, limit, offset)
 
     def forget(self, uuid: str | None = None, f: MemoryFilter | None = None, mode: str = "soft", gc_graph: bool = False, batch_limit: int = 500) -> int:
-        state = self.state
-        if uuid is not None:
-            new, n = forget.forget_one(state, uuid, mode, gc_graph), 1
-        else:
+        def make(state: MemoryState) -> tuple:
+            if uuid is not None:
+                return forget.forget_one(state, uuid, mode, gc_graph), 1
             chosen = forget.targets(state, f or MemoryFilter(), batch_limit)
-            new, n = forget.forget(state, chosen, mode, gc_graph), chosen.count()
-        self.store.commit(new)
-        return n
+            return forget.forget(state, chosen, mode, gc_graph), chosen.count()
+
+        return self._change(make)
 
     def delete_memory(self, uuid: str) -> None:
         self.forget(uuid, mode="hard")
 
     def upsert_entity(self, name: str, kind: str = "unknown", description: str | None = None, metadata_json: str | None = None) -> dict:
         rows = self._row("seq long, uuid string, name string, type string, description string, metadata_json string", 0, str(uuid.uuid4()), name, kind, description, metadata_json)
-        state, out = writes.upsert_entities(self.state, rows, self.clock())
-        found = out.first().asDict()
-        self.store.commit(state)
-        return found
+        now = self.clock()
+
+        def make(state: MemoryState) -> tuple:
+            new, out = writes.upsert_entities(state, rows, now)
+            return new, out.first().asDict()
+
+        return self._change(make)
 
     def upsert_relation(self, source: str, target: str, predicate: str, confidence: float = 1.0, memory_uuid: str | None = None, metadata_json: str = "{}") -> dict:
         schema = "seq long, uuid string, source_uuid string, target_uuid string, predicate string, confidence double, memory_uuid string, metadata_json string"
         rows = self._row(schema, 0, str(uuid.uuid4()), source, target, predicate, float(confidence), memory_uuid, metadata_json)
-        state, out = writes.upsert_relations(self.state, rows, self.clock())
-        found = out.first().asDict()
-        self.store.commit(state)
-        return found
+        now = self.clock()
+
+        def make(state: MemoryState) -> tuple:
+            new, out = writes.upsert_relations(state, rows, now)
+            return new, out.first().asDict()
+
+        return self._change(make)
 
     def traverse(self, start: str, max_depth: int = 2, max_nodes: int = 200) -> DataFrame:
         state = self.state
@@ -103,10 +124,13 @@ class MemoryEngine:
     def extract_and_link(self, text: str, enabled: bool = True, min_confidence: float = 0.0, create_relations: bool = True) -> dict:
         if not enabled or not text.strip():
             return {"entities_upserted": 0, "relations_created": 0}
-        state, entities, relations = writes.link(self.state, self._row("uuid string, content string", "text", text), self.clock(), min_confidence=min_confidence, create_relations=create_relations)
-        made = {"entities_upserted": entities.where("action = 'created'").count(), "relations_created": relations.where("action <> 'unchanged'").count()}
-        self.store.commit(state)
-        return made
+        now = self.clock()
+
+        def make(state: MemoryState) -> tuple:
+            new, entities, relations = writes.link(state, self._row("uuid string, content string", "text", text), now, min_confidence=min_confidence, create_relations=create_relations)
+            return new, {"entities_upserted": entities.where("action = 'created'").count(), "relations_created": relations.where("action <> 'unchanged'").count()}
+
+        return self._change(make)
 
     def stats(self) -> dict:
         return catalog.stats(self.state).first().asDict() | {"bytes": self.store.size_on_disk()}

@@ -4,13 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from ..errors import StorageError
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; a temporary one where it is unset and all
+    runs on one machine."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise StorageError("spark.checkpoint.dir isn't set: driver and executors need a shared folder")
+        context.setCheckpointDir(given or tempfile.mkdtemp())
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df in the checkpoint folder that driver and executors share: it is computed once, survives lost
     executors, and later plans start from it."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -56,7 +56,7 @@ class MemoryFilter:
             if value is not None:
                 out.append(getattr(column, op)(value))
         for k, v in (self.metadata_match or {}).items():
-            out.append(F.get_json_object("metadata_json", f"$.{k}") == v)
+            out.append(F.try_element_at(F.from_json("metadata_json", "map<string,string>"), F.lit(k)) == v)
         return out
 
 

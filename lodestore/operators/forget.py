@@ -34,6 +34,9 @@ def delete(state: MemoryState, uuids: DataFrame) -> MemoryState:
     of_memory = uuids.withColumnRenamed("uuid", "memory_uuid")
     relations = state.relations.join(of_memory.withColumn("_gone", F.lit(True)), "memory_uuid", "left")
     relations = relations.withColumn("memory_uuid", F.when(F.col("_gone"), None).otherwise(F.col("memory_uuid"))).select(*state.relations.columns)
+    if state.postings is not None:
+        ids = state.memory.join(uuids, "uuid", "left_semi").select(F.col("id").alias("memory_id"))
+        state = state.with_(postings=state.postings.join(ids, "memory_id", "left_anti").select(*state.postings.columns))
     return state.with_(memory=state.memory.join(uuids, "uuid", "left_anti"), embeddings=state.embeddings.join(of_memory, "memory_uuid", "left_anti"), memory_tags=state.memory_tags.join(of_memory, "memory_uuid", "left_anti"), relations=relations)
 
 

@@ -28,16 +28,15 @@ def adjacency(relations: DataFrame, direction: str = "both", whitelist: list[str
 
 def bfs_depth(relations: DataFrame, starts: DataFrame, max_depth: int = 2, **edges) -> DataFrame:
     """(uuid, depth) of all nodes within max_depth steps of any of starts (uuid): one pass from all
-    starts at once, level by level, each level new nodes only."""
+    starts at once, level by level, each level new nodes only and written once."""
     adj = adjacency(relations, **edges).select("u", "v")
-    level = cut(starts.select("uuid").distinct())
-    seen = level.withColumn("depth", F.lit(0))
+    seen = level = cut(starts.select("uuid", F.lit(0).alias("depth")).distinct())
     for depth in range(1, min(max_depth, DEPTH_CAP) + 1):
-        reached = adj.join(level.withColumnRenamed("uuid", "u"), "u", "left_semi").select(F.col("v").alias("uuid")).distinct()
-        level = cut(reached.join(seen.select("uuid"), "uuid", "left_anti"))
-        if not level.limit(1).count():
+        reached = adj.join(level.select(F.col("uuid").alias("u")), "u", "left_semi").select(F.col("v").alias("uuid")).distinct()
+        level = cut(reached.join(seen, "uuid", "left_anti").withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
             break
-        seen = cut(seen.unionByName(level.withColumn("depth", F.lit(depth))))
+        seen = seen.unionByName(level)
     return seen
 
 

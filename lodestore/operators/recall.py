@@ -67,7 +67,7 @@ def candidates(state: MemoryState, query: str | None, vector: list[float] | None
         if not (query or "").strip():
             raise ValidationError("this mode needs a query text")
         statuses = o.filter.status_in or (None if o.status_scope == "unfiltered" else ["active"])
-        found = cut(retrieval.bm25(memory, query, k, statuses, o.strict_query))
+        found = cut(retrieval.bm25(memory, query, k, statuses, o.strict_query, None if o.prefilter else state.postings))
         sims.append(found.select("uuid", (2 * F.col("score") - 1).alias("cosine")))
         arms.append(retrieval.ranked(found, "keyword", o.hybrid.keyword, F.round("bm25", 9), "id"))
     near = None

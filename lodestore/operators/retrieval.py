@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,9 +60,52 @@ def knn_ann(embeddings: DataFrame, query: list[float], k: int = 10, tables: int
 
 
 def postings(memory: DataFrame) -> DataFrame:
-    """(term, memory_id, tf, dl): write it sorted by term, and a prefix reads few row groups."""
+    """(term, memory_id, tf, dl, positions)."""
     docs = memory.select(F.col("id").alias("memory_id"), text.tokens(F.col("content")).alias("t"))
-    return docs.select("memory_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "memory_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    terms = docs.select("memory_id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
+    return terms.groupBy("term", "memory_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def keyword_index(memory: DataFrame) -> DataFrame:
+    """postings() and, under the term '', a row for each memory with its length. Stored sorted by term
+    (sorted_index), so that a query reads the row groups of its terms and of the lengths only."""
+    lengths = memory.select(F.lit("").alias("term"), F.col("id").alias("memory_id"), F.lit(0).cast("long").alias("tf"), F.size(text.tokens(F.col("content"))).alias("dl"), F.array().cast("array<int>").alias("positions"))
+    return lengths.unionByName(postings(memory))
+
+
+def sorted_index(index: DataFrame) -> DataFrame:
+    """In order of terms, whole: a frequent term may fill several files, by memory."""
+    return index.repartitionByRange(F.col("term"), F.col("memory_id")).sortWithinPartitions("term", "memory_id")
+
+
+def _of_phrase(phrase: text.Phrase, i: int) -> Column:
+    """Whether a term can be the phrase's word i."""
+    prefix = phrase.prefix and i == len(phrase.words) - 1
+    return F.col("term").startswith(phrase.words[i]) if prefix else F.col("term") == phrase.words[i]
+
+
+def _shifted(k: int) -> Column:
+    return F.transform("positions", lambda x: x - k)
+
+
+def _indexed(index: DataFrame, wanted: list[text.Phrase]) -> tuple[DataFrame, DataFrame]:
+    """From the stored index: (id, dl, f0, f1, ...) of the memories that have any of the phrases'
+    words, and the number of memories and their mean length (one row)."""
+    any_, counts = F.lit(False), []
+    for i, p in enumerate(wanted):
+        for k in range(len(p.words)):
+            any_ = any_ | _of_phrase(p, k)
+        if len(p.words) < 2:
+            found = F.sum(F.when(_of_phrase(p, 0), F.col("tf")).otherwise(0)) if p.words else F.lit(0)
+        else:  # where the phrase would start, by each of its words
+            starts = [F.flatten(F.collect_list(F.when(_of_phrase(p, k), _shifted(k)))) for k in range(len(p.words))]
+            both = starts[0]
+            for s in starts[1:]:
+                both = F.array_intersect(both, s)
+            found = F.size(both)
+        counts.append(found.alias(f"f{i}"))
+    docs = index.where(F.col("term") != "").where(any_).groupBy(F.col("memory_id").alias("id")).agg(F.first("dl").alias("dl"), *counts)
+    return docs, index.where(F.col("term") == "").agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
 
 
 def postings_stats(memory: DataFrame) -> DataFrame:
@@ -85,10 +128,11 @@ def _positive(tree) -> list:
     return _positive(tree.left) + ([] if tree.kind == "NOT" else _positive(tree.right))
 
 
-def bm25(memory: DataFrame, query: str, k: int = 20, statuses: list[str] | None = ("active",), strict: bool = False) -> DataFrame:
+def bm25(memory: DataFrame, query: str, k: int = 20, statuses: list[str] | None = ("active",), strict: bool = False, index: DataFrame | None = None) -> DataFrame:
     """(uuid, id, bm25, score) of the k best matches; bm25 is negative, lower is better; score is 1 for
     the best and 0 for the last of the returned ones. Corpus statistics cover rows of every status.
-    One pass over the texts; of each a few numbers are kept, and only one row is exchanged."""
+    With the index (keyword_index of all rows of memory) only its rows of the query's terms are read,
+    and no text. Without: one pass over the texts; of each a few numbers are kept."""
     if statuses is not None and not statuses:
         raise ValidationError("statuses must not be empty")
     tree = text.parse_query(query, strict)
@@ -96,11 +140,18 @@ def bm25(memory: DataFrame, query: str, k: int = 20, statuses: list[str] | None
         return memory.where(F.lit(False)).select("uuid", "id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("score"))
     wanted = list(dict.fromkeys(text.phrases(tree)))
     scoring = [p for p in wanted if p in set(_positive(tree))]
-    folded = memory.select("uuid", "id", "status", text.folded(F.coalesce("content", F.lit(""))).alias("t"))
-    docs = folded.select("uuid", "id", "status", text.length(F.col("t")).alias("dl"), *[text.count(F.col("t"), p).alias(f"f{i}") for i, p in enumerate(wanted)])
-    docs = cut(docs)  # a few numbers a row, read for statistics and for scores
-    totals = docs.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(wanted))])
+    with_phrase = [F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(wanted))]
+    if index is None:
+        folded = memory.select("uuid", "id", "status", text.folded(F.coalesce("content", F.lit(""))).alias("t"))
+        docs = folded.select("uuid", "id", "status", text.length(F.col("t")).alias("dl"), *[text.count(F.col("t"), p).alias(f"f{i}") for i, p in enumerate(wanted)])
+        docs = cut(docs)  # a few numbers a row, read for statistics and for scores
+        totals = docs.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *with_phrase)
+    else:
+        docs, lengths = _indexed(index, wanted)
+        totals = lengths.crossJoin(F.broadcast(docs.agg(*with_phrase)))  # of one row each
     found = docs.where(_matches(tree, {p: F.col(f"f{i}") for i, p in enumerate(wanted)})).crossJoin(F.broadcast(totals))  # of one row
+    if index is not None:
+        found = found.join(memory.select("id", "uuid", "status"), "id")
     score = F.lit(0.0)
     for i, p in enumerate(wanted):
         if p in scoring:

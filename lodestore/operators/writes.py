@@ -9,11 +9,36 @@ from ..errors import ValidationError
 from ..functions import extraction, text, vectors
 from ..schema import SOURCES
 from ..state import MemoryState
+from . import retrieval
+from .cut import cut
 
 
-def _reject(rows: DataFrame, bad: Column, what: str) -> None:
-    if rows.where(bad).limit(1).count():
-        raise ValidationError(what)
+def _reject(rows: DataFrame, **rules: Column) -> None:
+    """One pass for all rules, a name and whether a row breaks it."""
+    found = rows.agg(*[F.coalesce(F.max(F.coalesce(bad, F.lit(False))), F.lit(False)).alias(name) for name, bad in rules.items()]).first()
+    if broken := [WRONG[name] for name in rules if found[name]]:
+        raise ValidationError("; ".join(broken))
+
+
+WRONG = {
+    "content": "content must not be empty",
+    "importance": "importance must be in [0, 1]",
+    "source": "unknown source",
+    "metadata": "metadata must be a JSON object",
+    "vector": "vectors must be finite and of the provider's length",
+    "name": "name and type must not be blank",
+    "predicate": "predicate must not be blank",
+    "confidence": "confidence must be in [0, 1]",
+    "ends": "a relation needs two entities",
+}
+
+
+def _not_json(metadata: Column) -> Column:
+    return metadata.isNotNull() & ~F.coalesce(F.get_json_object(metadata, "$").startswith("{"), F.lit(False))
+
+
+def _outside(value: Column) -> Column:
+    return value.isNull() | F.isnan(value) | ~value.between(0, 1)
 
 
 def dedup_outcomes(state: MemoryState, batch: DataFrame) -> DataFrame:
@@ -37,14 +62,14 @@ def insert(state: MemoryState, batch: DataFrame, now: int, check: bool = True) -
         if name not in batch.columns:
             batch = batch.withColumn(name, default)
     if check:
-        _reject(batch, F.col("content").isNull() | (F.col("content") == ""), "content must not be empty")
-        _reject(batch, ~F.col("importance").between(0, 1) | F.isnan("importance"), "importance must be in [0, 1]")
-        _reject(batch, ~F.col("source").isin(*SOURCES), "unknown source")
+        _reject(batch, content=F.coalesce("content", F.lit("")) == "", importance=_outside(F.col("importance")), source=~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), metadata=_not_json(F.col("metadata_json")))
     out = dedup_outcomes(state, batch)
     top = state.memory.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     fresh = out.where(F.col("action") == "inserted").crossJoin(F.broadcast(top))  # of one row
     fresh = fresh.select((F.col("top") + 1 + F.col("seq")).alias("id"), "uuid", "content", "content_hash", "metadata_json", "source", "importance", F.lit(0).cast("long").alias("access_count"), F.lit(None).cast("long").alias("last_accessed"), F.lit(now).cast("long").alias("created_at"), "expires_at", F.lit("active").alias("status"))
     memory = state.memory.unionByName(fresh.select(*state.memory.columns))
+    if state.postings is not None:
+        state = state.with_(postings=state.postings.unionByName(retrieval.keyword_index(fresh)))
     return attach_tags(state.with_(memory=memory), out.select(F.col("uuid").alias("memory_uuid"), "tags")), out
 
 
@@ -73,7 +98,7 @@ def upsert_vectors(state: MemoryState, rows: DataFrame, dims: int, provider: str
     if not provider.strip() or not model.strip():
         raise ValidationError("provider and model must not be blank")
     if check:
-        _reject(rows, ~vectors.valid(F.col("vector"), dims), f"vectors must have {dims} finite components")
+        _reject(rows, vector=~vectors.valid(F.col("vector"), dims))
     new = rows.groupBy("memory_uuid").agg(F.max_by("vector", "seq").alias("vector"))
     new = new.select("memory_uuid", F.lit(dims).alias("dims"), F.lit(provider).alias("provider"), F.lit(model).alias("model"), vectors.doubles(F.col("vector")).alias("vector"), F.lit(now).cast("long").alias("created_at"))
     kept = state.embeddings.join(new.select("memory_uuid"), "memory_uuid", "left_anti")
@@ -85,7 +110,7 @@ def upsert_entities(state: MemoryState, rows: DataFrame, now: int, check: bool =
     action). Of a known (name, type) given values replace old ones, null ones keep them."""
     rows = rows.withColumn("name", text.strip(F.col("name"))).withColumn("type", text.strip(F.col("type")))
     if check:
-        _reject(rows, F.coalesce(F.col("name"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("type"), F.lit("")).eqNullSafe(""), "name and type must not be blank")
+        _reject(rows, name=(F.coalesce("name", F.lit("")) == "") | (F.coalesce("type", F.lit("")) == ""), metadata=_not_json(F.col("metadata_json")))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"new_{c}")
     new = rows.groupBy("name", "type").agg(F.min_by("uuid", "seq").alias("new_uuid"), last("description"), last("metadata_json"))
     joined = state.entities.withColumn("old", F.lit(True)).join(new.withColumn("new", F.lit(True)), ["name", "type"], "full_outer")
@@ -105,26 +130,26 @@ def best_relations(rows: DataFrame, *keys: str) -> DataFrame:
 
 def upsert_relations(state: MemoryState, rows: DataFrame, now: int, check: bool = True) -> tuple[MemoryState, DataFrame]:
     """rows (seq, uuid, source_uuid, target_uuid, predicate, confidence, memory_uuid, metadata_json): the
-    new state, and (source_uuid, predicate, target_uuid, uuid, action): inserted, updated where the
-    confidence is higher than the known one's, else unchanged."""
+    new state, and (source_uuid, predicate, target_uuid, uuid, action, confidence): inserted, updated
+    where the confidence is higher than the known one's, else unchanged. The batch is reduced to a row
+    a key once; the checks and the merge read that."""
     rows = rows.withColumn("predicate", text.strip(F.col("predicate")))
-    if check:
-        _reject(rows, F.coalesce(F.col("predicate"), F.lit("")) == "", "predicate must not be blank")
-        _reject(rows, ~F.col("confidence").between(0, 1) | F.isnan("confidence"), "confidence must be in [0, 1]")
-        _reject(rows, F.col("source_uuid") == F.col("target_uuid"), "a relation needs two entities")
-        for end in ("source_uuid", "target_uuid"):
-            known = state.entities.select(F.col("uuid").alias(end))
-            if rows.join(known, end, "left_anti").limit(1).count():
-                raise ValidationError(f"{end} is no known entity")
     keys = ["source_uuid", "predicate", "target_uuid"]
-    new = best_relations(rows, *keys).select(*keys, *[F.col(c).alias(f"new_{c}") for c in ("uuid", "confidence", "memory_uuid", "metadata_json")])
+    best = best_relations(rows.withColumn("_wrong", _outside(F.col("confidence"))), *keys, "_wrong")
+    if check:
+        best = cut(best)
+        _reject(best, predicate=F.coalesce("predicate", F.lit("")) == "", confidence=F.col("_wrong"), ends=F.col("source_uuid") == F.col("target_uuid"))
+        ends = best.select("source_uuid").union(best.select("target_uuid")).distinct().withColumnRenamed("source_uuid", "uuid")
+        if not ends.join(state.entities.select("uuid"), "uuid", "left_anti").isEmpty():
+            raise ValidationError("an end of a relation is no known entity")
+    new = best.where("NOT _wrong").select(*keys, *[F.col(c).alias(f"new_{c}") for c in ("uuid", "confidence", "memory_uuid", "metadata_json")])
     joined = state.relations.withColumn("old", F.lit(True)).join(new.withColumn("new", F.lit(True)), keys, "full_outer")
     action = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), None).when(F.col("new_confidence") > F.col("confidence"), "updated").otherwise("unchanged")
     takes = F.col("action").isin("inserted", "updated")
     pick = lambda c: F.when(takes, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
     joined = joined.withColumn("action", action)
     merged = joined.select(F.coalesce("uuid", "new_uuid").alias("uuid"), *keys, pick("confidence"), pick("memory_uuid"), F.coalesce(F.when(takes, F.col("new_metadata_json")).otherwise(F.col("metadata_json")), F.lit("{}")).alias("metadata_json"), F.coalesce("created_at", F.lit(now).cast("long")).alias("created_at"), "action")
-    return state.with_(relations=merged.select(*state.relations.columns)), merged.where("action IS NOT NULL").select(*keys, "uuid", "action")
+    return state.with_(relations=merged.select(*state.relations.columns)), merged.where("action IS NOT NULL").select(*keys, "uuid", "action", "confidence")
 
 
 def extracted(rows: DataFrame, key: str, content: str = "content") -> DataFrame:
@@ -144,7 +169,7 @@ def mentions(found: DataFrame, key: str) -> DataFrame:
     first = named.select(key, "names", F.posexplode("names").alias("i", "source_name"))
     rest = F.slice("names", F.col("i") + 2, F.greatest(F.size("names") - F.col("i") - 1, F.lit(0)))
     pairs = first.select(key, "i", "source_name", F.posexplode(rest).alias("j", "target_name"))
-    return pairs.select(key, (F.col("i").cast("long") * 1_000_000 + F.col("j")).alias("seq"), "source_name", "target_name", F.lit("mentions").alias("predicate"), F.lit(extraction.MENTION_CONFIDENCE).alias("confidence"))
+    return pairs.select(key, F.shiftleft(F.col("i").cast("long"), 31).bitwiseOR(F.col("j").cast("long")).alias("seq"), "source_name", "target_name", F.lit("mentions").alias("predicate"), F.lit(extraction.MENTION_CONFIDENCE).alias("confidence"))
 
 
 def entity_uuid(name: Column, kind: Column) -> Column:
@@ -176,7 +201,8 @@ def link(state: MemoryState, rows: DataFrame, now: int, key: str = "uuid", min_c
 def remember(state: MemoryState, batch: DataFrame, now: int, embed=None, dims: int = 64, extract_graph: bool = True, provider: str = "mock", model: str = "mock", check: bool = True) -> tuple[MemoryState, DataFrame]:
     """Trims, extracts, merges tags, inserts without duplicates, embeds the new rows (embed: Column ->
     Column, None for none), links entities. batch: (seq, uuid, content, source, importance, tags). The
-    outcome: seq, uuid, duplicate, embedding_stored, tags."""
+    outcome: seq, uuid, duplicate, embedding_stored, tags, entities_extracted and relations_extracted
+    (what the rules found in the text, known or not)."""
     batch = batch.withColumn("content", text.strip(F.col("content")))
     if extract_graph:
         batch = batch.withColumn("tags", text.merge_tags(F.coalesce("tags", F.array().cast("array<string>")), extraction.hashtags(F.col("content"))))
@@ -188,5 +214,8 @@ def remember(state: MemoryState, batch: DataFrame, now: int, embed=None, dims: i
         state = upsert_vectors(state, fresh.select("seq", F.col("uuid").alias("memory_uuid"), embed(F.col("content")).alias("vector")), dims, provider, model, now, check)
     if extract_graph:
         state, _, _ = link(state, out.select(F.col("seq").alias("text_id"), "content"), now, key="text_id")
-    result = out.select("seq", "uuid", (F.col("action") == "duplicate").alias("duplicate"), ((F.col("action") == "inserted") & F.lit(embed is not None)).alias("embedding_stored"), "tags")
+    found = F.size(extraction.entities(F.col("content"))) if extract_graph else F.lit(0)
+    names = F.size(F.array_distinct(F.transform(extraction.entities(F.col("content")), lambda e: e["name"]))) if extract_graph else F.lit(0)
+    pairs = F.when(names > 1, names * (names - 1) / 2).otherwise(0).cast("int")
+    result = out.select("seq", "uuid", (F.col("action") == "duplicate").alias("duplicate"), ((F.col("action") == "inserted") & F.lit(embed is not None)).alias("embedding_stored"), "tags", found.alias("entities_extracted"), pairs.alias("relations_extracted"))
     return state, result

@@ -325,7 +325,7 @@ def knn_ann(spark, sf):
 
 
 def _bm25(spark, sf, **options):
-    return retrieval.bm25(fx.memory(spark, sf).drop("tags"), QUERY, FETCH, **options)
+    return retrieval.bm25(fx.memory(spark, sf).drop("tags"), QUERY, FETCH, index=fx.postings(spark, sf), **options)
 
 
 @query("SELECT uuid, round(bm25, 6) AS bm25 FROM kw", KEYWORD)
@@ -351,7 +351,7 @@ fused AS (SELECT uuid, sum(w / total / (25 + rank)) AS rrf, array_to_string(list
 @query("SELECT uuid, round(rrf, 6) AS rrf, labels FROM fused", SEMANTIC, KEYWORD, FUSED)
 def rrf_fusion(spark, sf):
     s = fx.state(spark, sf)
-    near, found = retrieval.knn(s.embeddings, fx.query_vector(spark, sf), FETCH), retrieval.bm25(s.memory, QUERY, FETCH)
+    near, found = retrieval.knn(s.embeddings, fx.query_vector(spark, sf), FETCH), retrieval.bm25(s.memory, QUERY, FETCH, index=s.postings)
     arms = retrieval.ranked(near, "semantic", 0.6, F.desc(F.round("cosine", 9)), "uuid").unionByName(retrieval.ranked(found, "keyword", 0.3, F.round("bm25", 9), "id"))
     return retrieval.rrf(arms).select("uuid", r6("rrf").alias("rrf"), F.array_join("labels", ",").alias("labels"))
 
@@ -411,6 +411,14 @@ def _ranked(spark, sf, threshold):
     return retrieval.rank_linear(rows, threshold=threshold).select("uuid", r6("score").alias("score"))
 
 
+@query("SELECT mem.uuid, round(0.6 * CASE WHEN cosine IS NULL OR cosine <= -1 THEN 0 WHEN cosine >= 1 THEN 1 ELSE (cosine + 1) / 2 END, 6) AS similarity, round(0.15 * importance, 6) AS importance, round(0.1 * sqrt(least(access_count, 50) / 50.0), 6) AS access, CASE WHEN id % 2 = 0 THEN 0.15::DOUBLE ELSE 0::DOUBLE END AS graph_boost FROM mem JOIN allsem ON allsem.uuid = mem.uuid", SEMANTIC)
+def score_components(spark, sf):
+    s = fx.state(spark, sf)
+    near = s.embeddings.select(F.col("memory_uuid").alias("uuid"), vectors.cosine_to(F.col("vector"), fx.query_vector(spark, sf)).alias("cosine"))
+    rows = retrieval.rank_linear(s.memory.join(near, "uuid").withColumn("from_graph", F.col("id") % 2 == 0))
+    return rows.select("uuid", *[r6(f"components.{c}").alias(c) for c in ("similarity", "importance", "access", "graph_boost")])
+
+
 # ---- graph ----
 
 NATION = "nation:3"
@@ -505,6 +513,59 @@ def remember_batch_state(spark, sf):
     return out
 
 
+FRESH = OUTCOMES.replace("sha256(content)", r"sha256(regexp_replace(content, '^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$', '', 'g'))")
+
+
+@query("SELECT uuid, content_hash, status FROM mem UNION ALL SELECT uuid, h, 'active' FROM outcome JOIN hashed USING (seq, uuid) WHERE action = 'inserted'", FRESH)
+def remember_memory(spark, sf):
+    """The memory table after a batch, with extraction and embedding on."""
+    new, _ = writes.remember(fx.state(spark, sf), fx.batch(spark, sf), NOW, vectors.mock_embedding, 64)
+    return new.memory.select("uuid", "content_hash", "status")
+
+
+@query("SELECT memory_uuid, tag FROM mtags UNION SELECT uuid, unnest(tags) FROM outcome", FRESH)
+def remember_tags(spark, sf):
+    new, _ = writes.remember(fx.state(spark, sf), fx.batch(spark, sf), NOW, None, 64, extract_graph=False)
+    return new.memory_tags.select("memory_uuid", "tag")
+
+
+@query("SELECT uuid, importance, metadata_json FROM (SELECT uuid, CASE WHEN uuid = md5('m:7') THEN 0.9::DOUBLE ELSE importance END AS importance, CASE WHEN uuid = md5('m:7') THEN '{\"k\": \"v\"}' ELSE metadata_json END AS metadata_json FROM mem)")
+def update_memory(spark, sf):
+    new = forget.update(fx.state(spark, sf), _md5("m:7"), importance=0.9, metadata_json='{"k": "v"}')
+    return new.memory.select("uuid", "importance", "metadata_json")
+
+
+@query("SELECT uuid FROM mem WHERE status <> 'deleted' AND id % 3 = 1")
+def filter_metadata(spark, sf):
+    s = fx.state(spark, sf)
+    s = s.with_(memory=s.memory.withColumn("metadata_json", F.to_json(F.struct((F.col("id") % 3).cast("string").alias("a.b's"), F.col("id").alias("n")))))
+    return for_listing(s, MemoryFilter(metadata_match={"a.b's": "1"})).select("uuid")
+
+
+@query("SELECT 'entity' AS kind, uuid FROM ent WHERE type <> 'nation' UNION ALL SELECT 'relation', uuid FROM rel WHERE source_uuid NOT IN (SELECT uuid FROM ent WHERE type = 'nation') AND target_uuid NOT IN (SELECT uuid FROM ent WHERE type = 'nation')")
+def entity_delete(spark, sf):
+    s = fx.state(spark, sf)
+    new = forget.delete_entities(s, s.entities.where("type = 'nation'").select("uuid"))
+    return new.entities.select(F.lit("entity").alias("kind"), "uuid").unionByName(new.relations.select(F.lit("relation").alias("kind"), "uuid"))
+
+
+@query("SELECT uuid, predicate FROM rel WHERE predicate <> 'located_in'")
+def relation_delete(spark, sf):
+    s = fx.state(spark, sf)
+    return forget.delete_relations(s, s.relations.where("predicate = 'located_in'").select("uuid")).relations.select("uuid", "predicate")
+
+
+@query("""SELECT least::DOUBLE AS min_confidence, (SELECT count(*) FROM (SELECT DISTINCT name, type FROM pe)) AS entities, CASE WHEN least <= 0.3 THEN (SELECT count(*) FROM (SELECT DISTINCT a.eid, b.eid AS e2 FROM pairs JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) a ON a.uuid = pairs.uuid AND a.name = source_name JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) b ON b.uuid = pairs.uuid AND b.name = target_name)) ELSE 0 END AS relations FROM (SELECT unnest([0.0, 0.3, 0.31]) AS least)""", MENTIONS)
+def link_min_confidence(spark, sf):
+    s, out = fx.state(spark, sf), None
+    s = s.with_(entities=s.entities.where("false"), relations=s.relations.where("false"))
+    for least in (0.0, 0.3, 0.31):
+        _, entities, relations = writes.link(s, fx.part_texts(spark, sf), NOW, min_confidence=least)
+        one = entities.agg(F.count("*").alias("entities")).crossJoin(relations.agg(F.count("*").alias("relations"))).select(F.lit(least).alias("min_confidence"), "entities", "relations")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT memory_uuid, array_to_string(list_sort(list(tag)), ',') AS tags FROM (SELECT memory_uuid, tag FROM mtags UNION SELECT uuid, unnest(['kept', source]) FROM mem) GROUP BY 1")
 def tag_attach(spark, sf):
     m = fx.memory(spark, sf)
@@ -562,8 +623,8 @@ def relation_upsert(spark, sf):
     new = rows(li, F.col("l_orderkey") * 10 + F.col("l_linenumber"), fx._uuid("part", F.col("l_partkey").cast("string")), fx._uuid("supplier", F.col("l_suppkey").cast("string")), "supplied_by", F.col("l_tax") * 5)
     new = new.unionByName(rows(c, F.col("c_custkey"), fx._uuid("customer", F.col("c_custkey").cast("string")), fx._uuid("nation", F.col("c_nationkey").cast("string")), "served_by", F.lit(0.5)))
     new = new.withColumn("uuid", fx._uuid("r", "source_uuid", "predicate", "target_uuid"))
-    state, out = writes.upsert_relations(fx.state(spark, sf), new, NOW)
-    return out.join(state.relations.select("uuid", "confidence"), "uuid").select("source_uuid", "predicate", "target_uuid", "action", r6("confidence").alias("confidence"))
+    _, out = writes.upsert_relations(fx.state(spark, sf), new, NOW)
+    return out.select("source_uuid", "predicate", "target_uuid", "action", r6("confidence").alias("confidence"))
 
 
 @query("SELECT 'entity' AS kind, count(*) AS n FROM (SELECT DISTINCT name, type FROM pe) UNION ALL SELECT 'relation', count(*) FROM (SELECT DISTINCT a.eid, b.eid AS e2 FROM pairs JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) a ON a.uuid = pairs.uuid AND a.name = source_name JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) b ON b.uuid = pairs.uuid AND b.name = target_name)", MENTIONS)

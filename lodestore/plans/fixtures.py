@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
+from ..operators import retrieval
+from ..operators.cut import shared_folder
 from ..schema import SOURCES
 from ..state import MemoryState
 
@@ -20,6 +24,25 @@ def _uuid(kind: str, *parts):
     return F.md5(F.concat_ws(":", F.lit(kind), *parts))
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def _stored(build):
+    """The table is made once for each session and input, in the shared folder, and read from there: the
+    queries run on stored tables as an engine's do."""
+
+    def read(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, build.__name__)
+        if key not in _STORED:
+            path = f"{shared_folder(spark)}/{build.__name__}-{uuid.uuid4().hex}"
+            build(spark, sf).write.parquet(path)
+            _STORED[key] = path
+        return spark.read.parquet(_STORED[key])
+
+    return read
+
+
+@_stored
 def memory(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as memories, with tags."""
     labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
@@ -36,6 +59,12 @@ def memory(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_stored
+def postings(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.sorted_index(retrieval.keyword_index(memory(spark, sf)))
+
+
+@_stored
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, key, label in (("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"), ("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name")):
@@ -46,6 +75,7 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@_stored
 def relations(spark: SparkSession, sf: str) -> DataFrame:
     def edge(rows, a, key_a, b, key_b, predicate, confidence, memory=F.lit(None).cast("string")):
         ends = [_uuid(a, F.col(key_a).cast("long").cast("string")), _uuid(b, F.col(key_b).cast("long").cast("string"))]
@@ -60,12 +90,16 @@ def relations(spark: SparkSession, sf: str) -> DataFrame:
     return out.unionByName(edge(supplied, "part", "l_partkey", "supplier", "l_suppkey", "supplied_by", F.least(F.lit(1.0), F.col("n") / 10.0), F.when(F.col("doc_id").isNotNull(), _uuid("m", F.col("doc_id").cast("string")))))
 
 
+@_stored
+def embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").join(table(spark, sf, "documents").select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi")
+    return e.select(_uuid("m", F.col("vec_id").cast("string")).alias("memory_uuid"), F.size("embedding").alias("dims"), F.lit("given").alias("provider"), F.lit("given").alias("model"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(EPOCH).cast("long").alias("created_at"))
+
+
 def state(spark: SparkSession, sf: str) -> MemoryState:
     rows = memory(spark, sf)
-    e = table(spark, sf, "embeddings").join(table(spark, sf, "documents").select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi")
-    vectors = e.select(_uuid("m", F.col("vec_id").cast("string")).alias("memory_uuid"), F.size("embedding").alias("dims"), F.lit("given").alias("provider"), F.lit("given").alias("model"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(EPOCH).cast("long").alias("created_at"))
     tags = rows.select(F.col("uuid").alias("memory_uuid"), F.explode("tags").alias("tag"))
-    return MemoryState(rows.drop("tags"), vectors, entities(spark, sf), relations(spark, sf), tags)
+    return MemoryState(rows.drop("tags"), embeddings(spark, sf), entities(spark, sf), relations(spark, sf), tags, postings(spark, sf))
 
 
 def query_vector(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:

@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """A store's commit: its number, each table's place, and the tables as they were read."""
+
+    number: int
+    places: dict[str, str]
+    tables: dict[str, DataFrame]
+
+
 @dataclass(frozen=True)
 class MemoryState:
     memory: DataFrame
@@ -15,6 +24,8 @@ class MemoryState:
     entities: DataFrame
     relations: DataFrame
     memory_tags: DataFrame
+    postings: DataFrame | None = None  # the stored keyword index, if there is one
+    origin: Snapshot | None = None  # what a store loaded it from
 
     def with_(self, **tables: DataFrame) -> MemoryState:
         return replace(self, **tables)

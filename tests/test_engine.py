@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestore.engine import MemoryEngine
-from lodestore.errors import EmbeddingError, NotFoundError, ValidationError
+from lodestore.errors import ConflictError, EmbeddingError, NotFoundError, ValidationError
 from lodestore.functions import ranking, vectors
 from lodestore.operators import catalog, forget, graph, recall, retrieval, writes
 from lodestore.operators.filters import MemoryFilter
@@ -323,7 +323,7 @@ def test_store_snapshots(spark, tmp_path, engine):
     assert engine.store.snapshot() != first and Store.open(spark, engine.store.root).load().memory.count() == 1
     engine.remember("more")
     before = engine.store.size_on_disk()
-    assert engine.store.vacuum(keep=1) >= 1 and engine.store.size_on_disk() < before
+    assert engine.store.vacuum(keep=1) >= 1 and len(engine.store._commits()) == 1 and engine.store.size_on_disk() < before
     assert engine.state.memory.count() == 2
 
 
@@ -342,3 +342,77 @@ def test_knn_batch_goes_through_more_queries_than_the_limit(spark):
     want = {tuple(r) for r in retrieval.knn_batch(e, q, 3).collect()}
     got = retrieval.knn_batch(e, q, 3, rows_limit=20).collect()
     assert len(got) == 180 and {tuple(r) for r in got} == want
+
+
+def test_a_commit_writes_changed_tables_only(spark, engine):
+    engine.remember("counted words")
+    before = engine.state.origin
+    assert engine.recall("counted", RecallOptions(mode="keyword")).count() == 1
+    after = engine.state.origin
+    assert after.number == before.number + 1 and {t for t in after.places if after.places[t] != before.places[t]} == {"memory"}
+    assert engine.state.memory.first().access_count == 1
+
+
+def test_the_second_writer_gets_a_conflict(spark, engine):
+    engine.remember("one")
+    a, b = engine.state, engine.state
+    engine.store.commit(a.with_(memory=a.memory.withColumn("importance", F.lit(0.1))))
+    with pytest.raises(ConflictError):
+        engine.store.commit(b.with_(memory=b.memory.withColumn("importance", F.lit(0.2))))
+    assert engine.state.memory.first().importance == 0.1
+    made = []
+
+    def change(state):
+        if not made:  # another writer comes between
+            other = engine.state
+            engine.store.commit(other.with_(memory=other.memory.withColumn("access_count", F.lit(7))))
+        made.append(1)
+        return state.with_(memory=state.memory.withColumn("importance", F.lit(0.3))), "done"
+
+    assert engine._change(change) == "done" and len(made) == 2
+    row = engine.state.memory.first()
+    assert (row.access_count, row.importance) == (7, 0.3)
+
+
+def test_a_store_of_the_first_version_is_brought_up_to_date(spark, tmp_path, engine):
+    import json
+
+    engine.remember("old words here")
+    state, root = engine.state, tmp_path / "old"
+    for t in ("memory", "embeddings", "entities", "relations", "memory_tags"):
+        getattr(state, t).write.parquet(f"{root}/v=1/{t}")
+    (root / "CURRENT").write_text(json.dumps({"snapshot": "v=1", "schema_version": 1}))
+    new = MemoryEngine(spark, str(root))
+    assert new.recall("old", RecallOptions(mode="keyword")).count() == 1 and new.state.postings.where("term = 'words'").count() == 1
+
+
+@pytest.mark.parametrize("query", ["alpha", "alp be", '"beta gamma"', '"beta gam"*', "alpha OR delta", "alpha NOT beta", '(alpha OR "gamma delta") AND eps', "a-b", "nothing", '"beta beta"'])
+def test_the_index_gives_what_a_scan_gives(spark, query):
+    rng, words = random.Random(5), ["alpha", "alphabet", "beta", "gamma", "delta", "epsilon", "a", "b", "Be-ta"]
+    rows = [(i, f"u{i}", rng.choice(["active", "archived"]), " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(200)]
+    memory = spark.createDataFrame(rows, "id long, uuid string, status string, content string")
+    want = [tuple(r) for r in retrieval.bm25(memory, query, 50).collect()]
+    got = retrieval.bm25(memory, query, 50, index=retrieval.keyword_index(memory))
+    assert [(r.uuid, r.id, round(r.bm25, 9), round(r.score, 9)) for r in got.collect()] == [(u, i, round(b, 9), round(s, 9)) for u, i, b, s in want]
+
+
+def test_the_index_is_kept_and_reads_its_terms_only(spark, engine):
+    for text in ("pineapple smoothie", "banana smoothie bowl", "unrelated words"):
+        engine.remember(text)
+    assert engine.recall("smoothie", RecallOptions(mode="keyword")).count() == 2
+    gone = engine.state.memory.where("content LIKE 'pine%'").first()
+    engine.forget(gone.uuid, mode="hard")
+    assert engine.state.postings.where("term = 'pineapple'").count() == 0
+    state = engine.state
+    want = sorted(map(str, retrieval.keyword_index(state.memory).collect()))
+    assert sorted(map(str, state.postings.collect())) == want
+    plan = retrieval.bm25(state.memory, "smoothie", index=state.postings)._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,smoothie)" in plan and "content" not in plan
+
+
+def test_rejections_name_every_broken_rule(spark, engine):
+    rows = spark.createDataFrame([(0, "x", "text", "nobody", 2.0, [], "[1]")], "seq long, uuid string, content string, source string, importance double, tags array<string>, metadata_json string")
+    with pytest.raises(ValidationError, match="importance.*source.*JSON"):
+        writes.insert(engine.state, rows, 1)
+    found = engine.remember("Ada Byron met Grace Hopper")
+    assert found["entities_extracted"] == 2 and found["relations_extracted"] == 1
