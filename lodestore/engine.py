@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import ConflictError, NotFoundError, ValidationError
+from .functions.extraction import RULES, Extractor
 from .operators import catalog, forget, graph, recall, writes
 from .operators.cut import cut
 from .operators.filters import MemoryFilter
@@ -20,7 +21,8 @@ from .state import MemoryState
 
 
 class MemoryEngine:
-    def __init__(self, spark: SparkSession, root: str, provider: EmbeddingProvider | None = None, clock: Callable[[], int] = lambda: int(time.time())):
+    def __init__(self, spark: SparkSession, root: str, provider: EmbeddingProvider | None = None, clock: Callable[[], int] = lambda: int(time.time()), extractor: Extractor = RULES):
+        self.extractor = extractor
         self.spark, self.store, self.provider, self.clock = spark, Store.open(spark, root), provider or MockProvider(), clock
 
     def _change(self, make: Callable[[MemoryState], tuple], tries: int = 5):
@@ -47,7 +49,7 @@ class MemoryEngine:
         now = self.clock()
 
         def make(state: MemoryState) -> tuple:
-            new, out = writes.remember(state, rows, now, self.provider.column if embed else None, meta.dims, extract_graph, meta.provider, meta.model)
+            new, out = writes.remember(state, rows, now, self.provider.column if embed else None, meta.dims, extract_graph, meta.provider, meta.model, extractor=self.extractor)
             return new, cut(out)
 
         return self._change(make)
@@ -127,7 +129,7 @@ class MemoryEngine:
         now = self.clock()
 
         def make(state: MemoryState) -> tuple:
-            new, entities, relations = writes.link(state, self._row("uuid string, content string", "text", text), now, min_confidence=min_confidence, create_relations=create_relations)
+            new, entities, relations = writes.link(state, self._row("uuid string, content string", "text", text), now, min_confidence=min_confidence, create_relations=create_relations, extractor=self.extractor)
             return new, {"entities_upserted": entities.where("action = 'created'").count(), "relations_created": relations.where("action <> 'unchanged'").count()}
 
         return self._change(make)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +53,16 @@ def entities(text: Column) -> Column:
     # bound as one variable: in the inner function the patterns would be searched again for each name
     bound = F.array(F.struct(links.alias("links"), names.alias("names")))
     return F.get(F.transform(bound, one), F.lit(0))
+
+
+@dataclass(frozen=True)
+class Extractor:
+    """What finds entities (name, type) and tags in a text: functions from a column to a column."""
+
+    entities: Callable[[Column], Column]
+    hashtags: Callable[[Column], Column]
+
+
+#: The rules of this module, and an extractor that finds nothing.
+RULES = Extractor(entities, hashtags)
+NOTHING = Extractor(lambda text: F.array().cast(_ENTITY), lambda text: F.array().cast("array<string>"))

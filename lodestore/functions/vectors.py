@@ -96,3 +96,28 @@ def mock_expression(text: Column, dims: int = 64) -> Column:
         return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(codes, start, step) / F.lit(float(1 << 31)) - 1.0))
 
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), one)
+
+
+def from_blob(blob: Column) -> Column:
+    """Vectors from little-endian 32-bit floats, for importing them; other lengths than whole floats fail."""
+
+    @F.pandas_udf("array<double>")
+    def decode(blobs: pd.Series) -> pd.Series:
+        def one(data: bytes | None):
+            if data is None:
+                return None
+            if len(data) % 4:
+                raise ValueError(f"a vector of {len(data)} bytes isn't whole floats")
+            return np.frombuffer(data, "<f4").astype(np.float64)
+
+        return blobs.map(one)
+
+    return decode(blob)
+
+
+def to_blob(vector: Column) -> Column:
+    @F.pandas_udf("binary")
+    def encode(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+    return encode(vector)

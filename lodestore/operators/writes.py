@@ -152,9 +152,9 @@ def upsert_relations(state: MemoryState, rows: DataFrame, now: int, check: bool
     return state.with_(relations=merged.select(*state.relations.columns)), merged.where("action IS NOT NULL").select(*keys, "uuid", "action", "confidence")
 
 
-def extracted(rows: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """(key, entities, tags) by the rules of extraction."""
-    return rows.select(key, extraction.entities(F.col(content)).alias("entities"), extraction.hashtags(F.col(content)).alias("tags"))
+def extracted(rows: DataFrame, key: str, content: str = "content", extractor: extraction.Extractor = extraction.RULES) -> DataFrame:
+    """(key, entities, tags) by an extractor, the rules of extraction if none is given."""
+    return rows.select(key, extractor.entities(F.col(content)).alias("entities"), extractor.hashtags(F.col(content)).alias("tags"))
 
 
 def entity_rows(found: DataFrame, key: str) -> DataFrame:
@@ -177,11 +177,11 @@ def entity_uuid(name: Column, kind: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit("e"), kind, name))
 
 
-def link(state: MemoryState, rows: DataFrame, now: int, key: str = "uuid", min_confidence: float = 0.0, create_relations: bool = True, link_memory: bool = False) -> tuple[MemoryState, DataFrame, DataFrame]:
+def link(state: MemoryState, rows: DataFrame, now: int, key: str = "uuid", min_confidence: float = 0.0, create_relations: bool = True, link_memory: bool = False, extractor: extraction.Extractor = extraction.RULES) -> tuple[MemoryState, DataFrame, DataFrame]:
     """Extracts from rows (key, content), upserts the entities and the relations between those of one
     text: the new state, the entities' outcomes and the relations'. A name's uuid is that of kind
     unknown, or else of any of its kinds in the text. link_memory is an extension: relations name key."""
-    found = extracted(rows, key)
+    found = extracted(rows, key, extractor=extractor)
     named = entity_rows(found, key)
     batch = named.select(F.xxhash64(key, "pos").alias("seq"), entity_uuid(F.col("name"), F.col("type")).alias("uuid"), "name", "type", F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("metadata_json"))
     state, entities = upsert_entities(state, batch, now, check=False)
@@ -198,14 +198,14 @@ def link(state: MemoryState, rows: DataFrame, now: int, key: str = "uuid", min_c
     return state, entities, relations
 
 
-def remember(state: MemoryState, batch: DataFrame, now: int, embed=None, dims: int = 64, extract_graph: bool = True, provider: str = "mock", model: str = "mock", check: bool = True) -> tuple[MemoryState, DataFrame]:
+def remember(state: MemoryState, batch: DataFrame, now: int, embed=None, dims: int = 64, extract_graph: bool = True, provider: str = "mock", model: str = "mock", check: bool = True, extractor: extraction.Extractor = extraction.RULES) -> tuple[MemoryState, DataFrame]:
     """Trims, extracts, merges tags, inserts without duplicates, embeds the new rows (embed: Column ->
     Column, None for none), links entities. batch: (seq, uuid, content, source, importance, tags). The
     outcome: seq, uuid, duplicate, embedding_stored, tags, entities_extracted and relations_extracted
     (what the rules found in the text, known or not)."""
     batch = batch.withColumn("content", text.strip(F.col("content")))
     if extract_graph:
-        batch = batch.withColumn("tags", text.merge_tags(F.coalesce("tags", F.array().cast("array<string>")), extraction.hashtags(F.col("content"))))
+        batch = batch.withColumn("tags", text.merge_tags(F.coalesce("tags", F.array().cast("array<string>")), extractor.hashtags(F.col("content"))))
     else:
         batch = batch.withColumn("tags", clean_tags(F.coalesce("tags", F.array().cast("array<string>"))))
     state, out = insert(state, batch, now, check)
@@ -213,9 +213,9 @@ def remember(state: MemoryState, batch: DataFrame, now: int, embed=None, dims: i
     if embed is not None:
         state = upsert_vectors(state, fresh.select("seq", F.col("uuid").alias("memory_uuid"), embed(F.col("content")).alias("vector")), dims, provider, model, now, check)
     if extract_graph:
-        state, _, _ = link(state, out.select(F.col("seq").alias("text_id"), "content"), now, key="text_id")
-    found = F.size(extraction.entities(F.col("content"))) if extract_graph else F.lit(0)
-    names = F.size(F.array_distinct(F.transform(extraction.entities(F.col("content")), lambda e: e["name"]))) if extract_graph else F.lit(0)
+        state, _, _ = link(state, out.select(F.col("seq").alias("text_id"), "content"), now, key="text_id", extractor=extractor)
+    found = F.size(extractor.entities(F.col("content"))) if extract_graph else F.lit(0)
+    names = F.size(F.array_distinct(F.transform(extractor.entities(F.col("content")), lambda e: e["name"]))) if extract_graph else F.lit(0)
     pairs = F.when(names > 1, names * (names - 1) / 2).otherwise(0).cast("int")
     result = out.select("seq", "uuid", (F.col("action") == "duplicate").alias("duplicate"), ((F.col("action") == "inserted") & F.lit(embed is not None)).alias("embedding_stored"), "tags", found.alias("entities_extracted"), pairs.alias("relations_extracted"))
     return state, result

@@ -416,3 +416,27 @@ def test_rejections_name_every_broken_rule(spark, engine):
         writes.insert(engine.state, rows, 1)
     found = engine.remember("Ada Byron met Grace Hopper")
     assert found["entities_extracted"] == 2 and found["relations_extracted"] == 1
+
+
+def test_vector_blobs(spark):
+    import struct
+
+    rows = spark.createDataFrame([(1, struct.pack("<3f", 1.0, -2.5, 0.0)), (2, b""), (3, None)], "i int, blob binary")
+    found = rows.select("i", vectors.from_blob(F.col("blob")).alias("v"))
+    assert sorted(map(tuple, found.collect())) == [(1, [1.0, -2.5, 0.0]), (2, []), (3, None)]
+    back = found.select("i", vectors.to_blob(F.col("v")).alias("blob"))
+    assert sorted((r.i, r.blob and bytes(r.blob)) for r in back.collect()) == sorted((r.i, r.blob and bytes(r.blob)) for r in rows.collect())
+    with pytest.raises(Exception, match="whole floats"):
+        spark.createDataFrame([(b"abc",)], "blob binary").select(vectors.from_blob(F.col("blob"))).collect()
+
+
+def test_an_extractor_of_ones_own_and_none(spark, tmp_path):
+    from lodestore.functions import extraction
+
+    nothing = MemoryEngine(spark, str(tmp_path / "none"), extractor=extraction.NOTHING)
+    out = nothing.remember("#docs [[Ada]] met Grace Hopper", tags=["t"])
+    assert (out["entities_extracted"], out["tags"]) == (0, ["t"]) and nothing.state.entities.count() == 0
+    upper = extraction.Extractor(lambda text: F.array(F.struct(F.upper(text).alias("name"), F.lit("whole").alias("type"))), extraction.hashtags)
+    own = MemoryEngine(spark, str(tmp_path / "own"), extractor=upper)
+    assert own.extract_and_link("abc") == {"entities_upserted": 1, "relations_created": 0}
+    assert own.state.entities.first().name == "ABC"
