@@ -24,6 +24,7 @@ class MemoryEngine:
     def __init__(self, spark: SparkSession, root: str, provider: EmbeddingProvider | None = None, clock: Callable[[], int] = lambda: int(time.time()), extractor: Extractor = RULES):
         self.extractor = extractor
         self.spark, self.store, self.provider, self.clock = spark, Store.open(spark, root), provider or MockProvider(), clock
+        self.began = time.monotonic()
 
     def _change(self, make: Callable[[MemoryState], tuple], tries: int = 5):
         """Commits make(state)'s first and returns its second; made anew where another writer was first."""
@@ -96,6 +97,21 @@ class MemoryEngine:
     def delete_memory(self, uuid: str) -> None:
         self.forget(uuid, mode="hard")
 
+    def delete_entity(self, uuid: str) -> None:
+        """Its relations go too."""
+        self._change(lambda state: (forget.delete_entity(state, uuid), None))
+
+    def delete_relation(self, uuid: str) -> None:
+        self._change(lambda state: (forget.delete_relation(state, uuid), None))
+
+    def delete_vector(self, uuid: str) -> None:
+        """The memory's vector; nothing happens if it has none."""
+        one = self._row("uuid string", uuid)
+        self._change(lambda state: (forget.delete_vectors(state, one), None))
+
+    def update_memory(self, uuid: str, importance: float | None = None, metadata_json: str | None = None) -> None:
+        self._change(lambda state: (forget.update(state, uuid, importance, metadata_json), None))
+
     def upsert_entity(self, name: str, kind: str = "unknown", description: str | None = None, metadata_json: str | None = None) -> dict:
         rows = self._row("seq long, uuid string, name string, type string, description string, metadata_json string", 0, str(uuid.uuid4()), name, kind, description, metadata_json)
         now = self.clock()
@@ -135,4 +151,4 @@ class MemoryEngine:
         return self._change(make)
 
     def stats(self) -> dict:
-        return catalog.stats(self.state).first().asDict() | {"bytes": self.store.size_on_disk()}
+        return catalog.stats(self.state).first().asDict() | {"bytes": self.store.size_on_disk(), "uptime": time.monotonic() - self.began}

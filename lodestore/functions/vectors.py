@@ -121,3 +121,11 @@ def to_blob(vector: Column) -> Column:
         return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
     return encode(vector)
+
+
+def uuid_rowid(uuid: Column) -> Column:
+    """The first 8 bytes of a uuid (with or without dashes) as a little-endian signed long, by which
+    imported vector tables name their rows; null for what is no uuid."""
+    digits = F.lower(F.replace(uuid, F.lit("-"), F.lit("")))
+    turned = F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(8))))
+    return F.when(digits.rlike("^[0-9a-f]{32}$"), F.conv(turned, 16, -10).cast("long"))

@@ -80,6 +80,17 @@ def list_relations(state: MemoryState, source: str | None = None, target: str |
     return _page(rows, [F.desc("uuid")], limit, offset, 500)
 
 
+TIMES = ("created_at", "updated_at", "last_accessed", "expires_at")
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    """Rows of any table for use outside of the engine: epoch seconds as timestamps, and metadata (a
+    variant; null where metadata_json is no JSON) in place of metadata_json."""
+    for name in set(TIMES) & set(rows.columns):
+        rows = rows.withColumn(name, F.timestamp_seconds(name))
+    return rows.withColumn("metadata", F.try_parse_json("metadata_json")).drop("metadata_json") if "metadata_json" in rows.columns else rows
+
+
 def tag_counts(state: MemoryState, limit: int = LIST_CAP, offset: int = 0) -> DataFrame:
     counts = state.memory_tags.groupBy("tag").agg(F.countDistinct("memory_uuid").alias("memory_count"))
     return _page(counts, [F.desc("memory_count"), "tag"], limit, offset)

@@ -71,6 +71,27 @@ def delete_relations(state: MemoryState, uuids: DataFrame) -> MemoryState:
     return state.with_(relations=state.relations.join(uuids.select("uuid"), "uuid", "left_anti"))
 
 
+def delete_vectors(state: MemoryState, uuids: DataFrame) -> MemoryState:
+    """uuids of memories; those without a vector are no error."""
+    gone = uuids.select(F.col("uuid").alias("memory_uuid"))
+    return state.with_(embeddings=state.embeddings.join(gone, "memory_uuid", "left_anti").select(*state.embeddings.columns))
+
+
+def _known(rows: DataFrame, uuid: str, what: str) -> DataFrame:
+    one = rows.where(F.col("uuid") == uuid).select("uuid")
+    if one.isEmpty():
+        raise NotFoundError(f"no {what} {uuid}")
+    return one
+
+
+def delete_entity(state: MemoryState, uuid: str) -> MemoryState:
+    return delete_entities(state, _known(state.entities, uuid, "entity"))
+
+
+def delete_relation(state: MemoryState, uuid: str) -> MemoryState:
+    return delete_relations(state, _known(state.relations, uuid, "relation"))
+
+
 def update(state: MemoryState, uuid: str, importance: float | None = None, metadata_json: str | None = None) -> MemoryState:
     if importance is not None and not 0 <= importance <= 1:
         raise ValidationError("importance must be in [0, 1]")

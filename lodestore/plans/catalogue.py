@@ -555,6 +555,25 @@ def relation_delete(spark, sf):
     return forget.delete_relations(s, s.relations.where("predicate = 'located_in'").select("uuid")).relations.select("uuid", "predicate")
 
 
+@query("SELECT memory_uuid, round(vector[1], 6) AS first FROM emb JOIN mem ON uuid = memory_uuid WHERE status <> 'archived'")
+def vector_delete(spark, sf):
+    s = fx.state(spark, sf)
+    return forget.delete_vectors(s, s.memory.where("status = 'archived'")).embeddings.select("memory_uuid", r6(F.get("vector", F.lit(0))).alias("first"))
+
+
+@query("""SELECT uuid, (CASE WHEN n >= 9223372036854775808 THEN n - 18446744073709551616 ELSE n END)::BIGINT AS rowid FROM (
+  SELECT uuid, list_sum([(instr('0123456789abcdef', uuid[2 * i + 1]) * 16 - 16 + instr('0123456789abcdef', uuid[2 * i + 2]) - 1)::HUGEINT * (256::HUGEINT ** i)::HUGEINT FOR i IN range(8)])::HUGEINT AS n FROM mem)""")
+def uuid_rowid(spark, sf):
+    return fx.memory(spark, sf).select("uuid", vectors.uuid_rowid(F.col("uuid")).alias("rowid"))
+
+
+@query(f"SELECT uuid, (created_at - {EPOCH}) / 60.0::DOUBLE AS minutes, last_accessed IS NULL AS unseen, 'OBJECT<>' AS metadata FROM mem")
+def memory_typed(spark, sf):
+    rows = catalog.typed(fx.state(spark, sf).memory)
+    minutes = (F.col("created_at").cast("double") - EPOCH) / 60.0
+    return rows.select("uuid", minutes.alias("minutes"), F.col("last_accessed").isNull().alias("unseen"), F.schema_of_variant("metadata").alias("metadata"))
+
+
 @query("""SELECT least::DOUBLE AS min_confidence, (SELECT count(*) FROM (SELECT DISTINCT name, type FROM pe)) AS entities, CASE WHEN least <= 0.3 THEN (SELECT count(*) FROM (SELECT DISTINCT a.eid, b.eid AS e2 FROM pairs JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) a ON a.uuid = pairs.uuid AND a.name = source_name JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) b ON b.uuid = pairs.uuid AND b.name = target_name)) ELSE 0 END AS relations FROM (SELECT unnest([0.0, 0.3, 0.31]) AS least)""", MENTIONS)
 def link_min_confidence(spark, sf):
     s, out = fx.state(spark, sf), None
@@ -635,6 +654,25 @@ def extract_link(spark, sf):
     return entities.agg(F.count("*").alias("n")).select(F.lit("entity").alias("kind"), "n").unionByName(relations.agg(F.count("*").alias("n")).select(F.lit("relation").alias("kind"), "n"))
 
 
+@query("SELECT DISTINCT 'entity' AS kind, md5('e:' || type || ':' || name) AS uuid, type AS label FROM pe", MENTIONS)
+def extract_link_entities(spark, sf):
+    new, _, _ = writes.link(_bare(spark, sf), fx.part_texts(spark, sf), NOW)
+    return new.entities.select(F.lit("entity").alias("kind"), "uuid", F.col("type").alias("label"))
+
+
+@query("""SELECT DISTINCT a.eid AS source_uuid, b.eid AS target_uuid, 'mentions' AS predicate, 0.3::DOUBLE AS confidence FROM pairs JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) a ON a.uuid = pairs.uuid AND a.name = source_name
+JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) b ON b.uuid = pairs.uuid AND b.name = target_name""", MENTIONS)
+def extract_link_relations(spark, sf):
+    new, _, _ = writes.link(_bare(spark, sf), fx.part_texts(spark, sf), NOW)
+    return new.relations.select("source_uuid", "target_uuid", "predicate", "confidence")
+
+
+def _bare(spark, sf):
+    """The state without a graph."""
+    s = fx.state(spark, sf)
+    return s.with_(entities=s.entities.where("false"), relations=s.relations.where("false"))
+
+
 @query(f"SELECT uuid, access_count + CASE WHEN uuid IN (SELECT uuid FROM sem) THEN 1 ELSE 0 END AS access_count, CASE WHEN uuid IN (SELECT uuid FROM sem) THEN {NOW} ELSE last_accessed END AS last_accessed FROM mem", SEMANTIC)
 def mark_accessed(spark, sf):
     new = recall.apply_feedback(fx.state(spark, sf), _seeds(spark, sf), NOW)

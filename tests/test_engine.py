@@ -440,3 +440,69 @@ def test_an_extractor_of_ones_own_and_none(spark, tmp_path):
     own = MemoryEngine(spark, str(tmp_path / "own"), extractor=upper)
     assert own.extract_and_link("abc") == {"entities_upserted": 1, "relations_created": 0}
     assert own.state.entities.first().name == "ABC"
+
+
+def test_deleting_one_by_one(engine):
+    a = engine.remember("Ada met Grace Hopper", extract_graph=False)["uuid"]
+    x, y = engine.upsert_entity("X")["uuid"], engine.upsert_entity("Y")["uuid"]
+    r = engine.upsert_relation(x, y, "knows", 0.5, memory_uuid=a)["uuid"]
+    engine.delete_vector(a)
+    engine.delete_vector(a)
+    engine.delete_vector("nobody")
+    stats = engine.stats()
+    assert (stats["vectors"], stats["total"], stats["relations"]) == (0, 1, 1) and stats["uptime"] > 0
+    engine.delete_relation(r)
+    for call in (lambda: engine.delete_relation(r), lambda: engine.delete_entity("nobody"), lambda: engine.update_memory("nobody", 0.5)):
+        with pytest.raises(NotFoundError):
+            call()
+    engine.upsert_relation(y, x, "knows")
+    engine.delete_entity(x)
+    engine.update_memory(a, 0.25, '{"k": 1}')
+    assert engine.stats()["entities"] == 1 and engine.stats()["relations"] == 0
+    assert engine.get(a)["importance"] == 0.25 and engine.get(a)["metadata_json"] == '{"k": 1}'
+    config = {c.key: c.value_json for c in engine.store.system_config().collect()}
+    assert config["schema_version"] == "2" and int(config["created_at"]) > 1_600_000_000
+
+
+def test_typed_rows(spark):
+    rows = spark.createDataFrame([(1, 86_400, None, '{"k": {"n": 2}}'), (2, 0, 3, "no json"), (3, 0, 3, None)], "id long, created_at long, last_accessed long, metadata_json string")
+    out = catalog.typed(rows)
+    assert dict(out.dtypes) == {"id": "bigint", "created_at": "timestamp", "last_accessed": "timestamp", "metadata": "variant"}
+    got = out.orderBy("id").select(F.unix_timestamp("created_at"), F.unix_timestamp("last_accessed"), F.try_variant_get("metadata", "$.k.n", "int"), F.col("metadata").isNull()).collect()
+    assert [tuple(r) for r in got] == [(86_400, None, 2, False), (0, 3, None, True), (0, 3, None, True)]
+
+
+def test_rowids_of_uuids(spark):
+    import struct
+    import uuid
+
+    ids = [str(uuid.UUID(int=i)) for i in (0, 1 << 64, (1 << 128) - 1, 0x8000000000000000 << 64, 0x00000000000000FF << 64)] + [str(uuid.uuid4()) for _ in range(50)]
+    given = spark.createDataFrame([(u,) for u in ids + [ids[7].replace("-", "").upper(), "nothing", "", None]], "u string")
+    got = [r[0] for r in given.select(vectors.uuid_rowid(F.col("u"))).collect()]
+    want = [struct.unpack("<q", uuid.UUID(u).bytes[:8])[0] for u in ids]
+    assert got == [*want, want[7], None, None, None]
+
+
+def test_settings(spark, tmp_path):
+    from lodestore.sources import config
+
+    assert config.load(environ={}) == config.Settings()
+    path = str(tmp_path / "a.toml")
+    (tmp_path / "a.toml").write_text('[store]\nroot = "x"\n[embedding]\ndims = 8\n[forgetting]\nimportance_at_most = 1\n')
+    made = config.load(path, {"LODESTORE_EMBEDDING__DIMS": "16", "LODESTORE_GRAPH__AUTO_EXTRACT": "false", "LODESTORE_STORE__ROOT": str(tmp_path / 'a "store"'), "OTHER__KEY": "1"})
+    assert made.embedding.dims == 16 and made.forgetting.importance_at_most == 1.0 and not made.graph.auto_extract
+    made.save(str(tmp_path / "b.toml"))
+    assert config.load(environ={"LODESTORE_CONFIG": str(tmp_path / "b.toml")}) == made
+    engine = made.engine(spark)
+    assert engine.provider.meta.dims == 16 and engine.remember("#tag [[Ada]]")["entities_extracted"] == 0
+    assert made.lifecycle(engine).tick().ticks == 1
+    wrong = [{"nothing": {"a": 1}}, {"store": {"a": 1}}, {"store": 1}, {"embedding": {"dims": "x y"}}, {"embedding": {"dims": True}}, {"store": {"root": 1}}]
+    for given in wrong:
+        with pytest.raises(ValidationError):
+            config.Settings().merged(given)
+    for given in ({"embedding": {"dims": 0}}, {"store": {"root": " "}}, {"forgetting": {"action": "burn"}}, {"forgetting": {"importance_at_most": 2.0}}):
+        with pytest.raises(ValidationError):
+            config.Settings().merged(given).checked()
+    (tmp_path / "c.toml").write_text("[store\n")
+    with pytest.raises(ValidationError):
+        config.load(str(tmp_path / "c.toml"), {})
