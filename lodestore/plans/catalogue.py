@@ -656,23 +656,17 @@ def extract_link(spark, sf):
 
 @query("SELECT DISTINCT 'entity' AS kind, md5('e:' || type || ':' || name) AS uuid, type AS label FROM pe", MENTIONS)
 def extract_link_entities(spark, sf):
-    new, _, _ = writes.link(_bare(spark, sf), fx.part_texts(spark, sf), NOW)
+    new, _, _ = writes.link(fx.bare_state(spark), fx.part_texts(spark, sf), NOW)
     return new.entities.select(F.lit("entity").alias("kind"), "uuid", F.col("type").alias("label"))
 
 
 @query("""SELECT DISTINCT a.eid AS source_uuid, b.eid AS target_uuid, 'mentions' AS predicate, 0.3::DOUBLE AS confidence FROM pairs JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) a ON a.uuid = pairs.uuid AND a.name = source_name
 JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) b ON b.uuid = pairs.uuid AND b.name = target_name""", MENTIONS)
 def extract_link_relations(spark, sf):
-    new, _, _ = writes.link(_bare(spark, sf), fx.part_texts(spark, sf), NOW)
+    new, _, _ = writes.link(fx.bare_state(spark), fx.part_texts(spark, sf), NOW)
     return new.relations.select("source_uuid", "target_uuid", "predicate", "confidence")
 
 
-def _bare(spark, sf):
-    """The state without a graph."""
-    s = fx.state(spark, sf)
-    return s.with_(entities=s.entities.where("false"), relations=s.relations.where("false"))
-
-
 @query(f"SELECT uuid, access_count + CASE WHEN uuid IN (SELECT uuid FROM sem) THEN 1 ELSE 0 END AS access_count, CASE WHEN uuid IN (SELECT uuid FROM sem) THEN {NOW} ELSE last_accessed END AS last_accessed FROM mem", SEMANTIC)
 def mark_accessed(spark, sf):
     new = recall.apply_feedback(fx.state(spark, sf), _seeds(spark, sf), NOW)

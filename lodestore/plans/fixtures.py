@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash
 from ..operators import retrieval
 from ..operators.cut import shared_folder
-from ..schema import SOURCES
+from ..schema import SOURCES, struct
 from ..state import MemoryState
 
 EPOCH, HOUR, DAY, NOW = 1704067200, 3600, 86400, 1706659200  # 2024-01-01 and 2024-01-31
@@ -102,6 +102,11 @@ def state(spark: SparkSession, sf: str) -> MemoryState:
     return MemoryState(rows.drop("tags"), embeddings(spark, sf), entities(spark, sf), relations(spark, sf), tags, postings(spark, sf))
 
 
+def bare_state(spark: SparkSession) -> MemoryState:
+    """Without a row: for what reads texts only, so that no table is made for it."""
+    return MemoryState(*(spark.createDataFrame([], struct(t)) for t in ("memory", "embeddings", "entities", "relations", "memory_tags")))
+
+
 def query_vector(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
     """One row's vector, as a query's input."""
     return [float(x) for x in table(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]]

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lodestore.plans import catalogue
 
@@ -68,3 +69,28 @@ def test_whole_documents_are_remembered_and_embedded(spark):
     assert after["embeddings"].n == before.embeddings.count() + fresh and after["memory_tags"].n > before.memory_tags.count()
     assert after["entities"].n > before.entities.count() and after["relations"].n > before.relations.count()
     assert catalogue.QUERIES["mock_embedding_memory"](spark, SF).count() == before.memory.count()
+
+
+def test_linking_broadcasts_nothing_that_grows_with_texts(spark):
+    from lodestore.operators import writes
+    from lodestore.plans import fixtures as fx
+
+    texts = spark.createDataFrame([("a", "[[Ada|poet]] met Grace Hopper"), ("b", "Grace Hopper met Ada"), ("c", "")], "uuid string, content string")
+    new, entities, relations = writes.link(fx.bare_state(spark), texts, 1)
+    found = {r.uuid: (r.name, r.type) for r in new.entities.collect()}
+    assert set(found.values()) == {("Ada", "wiki:poet"), ("Grace Hopper", "unknown"), ("Ada", "unknown")} and entities.count() == 3
+    edges = {(found[r.source_uuid], found[r.target_uuid]) for r in new.relations.collect()}
+    assert edges == {(("Ada", "wiki:poet"), ("Grace Hopper", "unknown")), (("Grace Hopper", "unknown"), ("Ada", "unknown"))} and relations.count() == 2
+    plan = catalogue.QUERIES["extract_link_relations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan and "documents" not in plan
+
+
+def test_a_name_of_several_kinds_is_linked_by_one(spark):
+    from lodestore.functions.extraction import Extractor, hashtags
+    from lodestore.operators import writes
+    from lodestore.plans import fixtures as fx
+
+    own = Extractor(lambda text: F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in (("A", "x"), ("B", "y"), ("A", "unknown"), ("B", "z")))), hashtags)
+    new, _, _ = writes.link(fx.bare_state(spark), spark.createDataFrame([("a", "-")], "uuid string, content string"), 1, extractor=own)
+    found = {r.uuid: (r.name, r.type) for r in new.entities.collect()}
+    assert {(found[r.source_uuid], found[r.target_uuid]) for r in new.relations.collect()} == {(("A", "unknown"), ("B", "y")), (("B", "y"), ("A", "unknown"))}
