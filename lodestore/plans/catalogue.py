@@ -648,9 +648,7 @@ def relation_upsert(spark, sf):
 
 @query("SELECT 'entity' AS kind, count(*) AS n FROM (SELECT DISTINCT name, type FROM pe) UNION ALL SELECT 'relation', count(*) FROM (SELECT DISTINCT a.eid, b.eid AS e2 FROM pairs JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) a ON a.uuid = pairs.uuid AND a.name = source_name JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) b ON b.uuid = pairs.uuid AND b.name = target_name)", MENTIONS)
 def extract_link(spark, sf):
-    empty = fx.state(spark, sf)
-    empty = empty.with_(entities=empty.entities.where("false"), relations=empty.relations.where("false"))
-    _, entities, relations = writes.link(empty, fx.part_texts(spark, sf), NOW)
+    _, entities, relations = writes.link(fx.bare_state(spark), fx.part_texts(spark, sf), NOW)
     return entities.agg(F.count("*").alias("n")).select(F.lit("entity").alias("kind"), "n").unionByName(relations.agg(F.count("*").alias("n")).select(F.lit("relation").alias("kind"), "n"))
 
 

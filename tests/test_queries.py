@@ -94,3 +94,8 @@ def test_a_name_of_several_kinds_is_linked_by_one(spark):
     new, _, _ = writes.link(fx.bare_state(spark), spark.createDataFrame([("a", "-")], "uuid string, content string"), 1, extractor=own)
     found = {r.uuid: (r.name, r.type) for r in new.entities.collect()}
     assert {(found[r.source_uuid], found[r.target_uuid]) for r in new.relations.collect()} == {(("A", "unknown"), ("B", "y")), (("B", "y"), ("A", "unknown"))}
+
+
+def test_extract_link_makes_no_table(spark):
+    plan = catalogue.QUERIES["extract_link"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "entities-" not in plan
