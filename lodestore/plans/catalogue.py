@@ -576,8 +576,7 @@ def memory_typed(spark, sf):
 
 @query("""SELECT least::DOUBLE AS min_confidence, (SELECT count(*) FROM (SELECT DISTINCT name, type FROM pe)) AS entities, CASE WHEN least <= 0.3 THEN (SELECT count(*) FROM (SELECT DISTINCT a.eid, b.eid AS e2 FROM pairs JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) a ON a.uuid = pairs.uuid AND a.name = source_name JOIN (SELECT uuid, name, md5('e:' || type || ':' || name) AS eid FROM pe) b ON b.uuid = pairs.uuid AND b.name = target_name)) ELSE 0 END AS relations FROM (SELECT unnest([0.0, 0.3, 0.31]) AS least)""", MENTIONS)
 def link_min_confidence(spark, sf):
-    s, out = fx.state(spark, sf), None
-    s = s.with_(entities=s.entities.where("false"), relations=s.relations.where("false"))
+    s, out = fx.bare_state(spark), None
     for least in (0.0, 0.3, 0.31):
         _, entities, relations = writes.link(s, fx.part_texts(spark, sf), NOW, min_confidence=least)
         one = entities.agg(F.count("*").alias("entities")).crossJoin(relations.agg(F.count("*").alias("relations"))).select(F.lit(least).alias("min_confidence"), "entities", "relations")

@@ -99,3 +99,8 @@ def test_a_name_of_several_kinds_is_linked_by_one(spark):
 def test_extract_link_makes_no_table(spark):
     plan = catalogue.QUERIES["extract_link"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "entities-" not in plan
+
+
+def test_link_min_confidence_makes_no_table(spark):
+    plan = catalogue.QUERIES["link_min_confidence"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "entities-" not in plan
