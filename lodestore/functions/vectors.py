@@ -25,6 +25,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size <= EPSILON, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size)))
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """cosine() of each row of a with each row of b."""
+    with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+        size = np.outer(np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1)))
+        found = np.clip(a @ b.T / size, -1.0, 1.0)
+    found[np.isnan(found)] = 1.0  # as least() has it
+    found[size <= EPSILON] = 0.0
+    return found
+
+
 def cosine_to(a: Column, query: list[float]) -> Column:
     """cosine() with a constant vector, whose norm is taken here."""
     norm = sum(x * x for x in query) ** 0.5

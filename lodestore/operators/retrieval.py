@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from ..functions import ranking, text, vectors
 from .cut import cut
 
 K_CAP = 500
+#: Vectors in a block of a grid, and the most tasks that its blocks are dealt to.
+GRID_ROWS, GRID_TASKS = 1024, 2000
 #: BM25's parameters, and what an inverse document frequency that isn't positive becomes.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -24,23 +29,82 @@ def knn(embeddings: DataFrame, query: list[float], k: int = 20, threshold: float
     return scored.where(F.col("cosine") >= threshold).orderBy(F.desc(F.round("cosine", 9)), "uuid").limit(min(k, K_CAP))
 
 
+def _whole(vector: Column) -> Column:
+    """Whether it can be compared: neither null nor with null components."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull()), F.lit(False))
+
+
+def _grid(embeddings: DataFrame, queries: DataFrame, compare, schema: str, rows_limit: int) -> DataFrame:
+    """compare(rows (uuid, v), queries (query_id, q)) of blocks of both, as Arrow tables: each block of up
+    to about rows_limit queries meets each block of some GRID_ROWS vectors, in a task's numpy. Vectors
+    that can't be compared are left out."""
+    rows = embeddings.select(F.col("memory_uuid").alias("uuid"), vectors.doubles(F.col("vector")).alias("v")).where(_whole(F.col("v")))
+    queries = queries.select("query_id", vectors.doubles(F.col("query")).alias("q")).where(_whole(F.col("q")))
+    down = max(1, -(-embeddings.count() // GRID_ROWS))
+    across = 1 if (n := queries.count()) <= rows_limit else -(-2 * n // rows_limit)
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.withColumn("_r", F.pmod(F.xxhash64("uuid", "v"), F.lit(down)).cast("int")).withColumn("_q", to(across))
+    queries = queries.withColumn("_q", F.pmod(F.xxhash64("query_id", "q"), F.lit(across)).cast("int")).withColumn("_r", to(down))
+    tasks = min(down * across, GRID_TASKS)  # given, as sizes don't show the work
+    sides = [side.repartition(tasks, "_r", "_q").groupBy("_r", "_q") for side in (rows, queries)]
+    return sides[0].cogroup(sides[1]).applyInArrow(compare, schema)
+
+
+def _by_size(lists: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each length: the places of the vectors, and the vectors."""
+    lists = lists.combine_chunks()
+    ends = np.cumsum(sizes := pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    values, out = lists.flatten().to_numpy(zero_copy_only=False), {}
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[size] = at, values[(ends[at] - size)[:, None] + np.arange(size)].reshape(len(at), size)
+    return out
+
+
 def knn_batch(embeddings: DataFrame, queries: DataFrame, k: int = 10, threshold: float = -1.0, rows_limit: int = 4096) -> DataFrame:
-    """(query_id, uuid, cosine, rank) for many queries (query_id, query). Each task keeps its own k
-    best of a query before the rest is shuffled. The queries are broadcast; more than rows_limit are
-    dealt by hash into blocks of about half as many, and each block is a pass over the vectors."""
-    blocks = 1 if (n := queries.count()) <= rows_limit else -(-2 * n // rows_limit)
-    queries = queries.select("query_id", vectors.doubles(F.col("query")).alias("q"))
-    rows = embeddings.select(F.col("memory_uuid").alias("uuid"), vectors.doubles(F.col("vector")).alias("v"))
-    order = [F.desc(F.round("cosine", 9)), F.col("uuid")]
-    few = None
-    for block in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)) == block)
-        pairs = rows.join(F.broadcast(some), F.size("v") == F.size("q"))
-        scored = pairs.select("query_id", "uuid", vectors.cosine(F.col("v"), F.col("q")).alias("cosine")).where(F.col("cosine") >= threshold)
-        dealt = scored.withColumn("part", F.spark_partition_id())
-        best = dealt.withColumn("r", F.row_number().over(W.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k)
-        few = best if few is None else few.unionByName(best)
-    return few.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "uuid", "cosine", "rank")
+    """(query_id, uuid, cosine, rank) for many queries (query_id, query). Blocks of queries meet blocks of
+    vectors (_grid); each pair of blocks keeps a query's k best before the rest is shuffled."""
+
+    def best(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        of, at, cosine, order = [], [], [], []
+        uuids, theirs = np.array(rows["uuid"].to_pylist(), dtype=object), _by_size(rows["v"])
+        for size, (asked, q) in _by_size(queries["q"]).items():
+            if size not in theirs:
+                continue
+            places, v = theirs[size]
+            found = vectors.cosines(q, v)
+            rounded = np.round(found, 9)
+            for i, one in enumerate(asked.tolist()):
+                near = np.flatnonzero(found[i] >= threshold)
+                if len(near) > k:
+                    near = near[rounded[i, near] >= np.partition(rounded[i, near], -k)[-k]]
+                near = sorted(near.tolist(), key=lambda j: (-rounded[i, j], uuids[places[j]]))[:k]
+                of += [one] * len(near)
+                at += places[near].tolist()
+                cosine += found[i, near].tolist()
+                order += rounded[i, near].tolist()
+        of, at = pa.array(of, pa.int64()), pa.array(at, pa.int64())
+        return pa.table({"query_id": queries["query_id"].take(of), "uuid": rows["uuid"].take(at), "cosine": pa.array(cosine, pa.float64()), "rounded": pa.array(order, pa.float64())})
+
+    few = _grid(embeddings, queries, best, f"query_id {queries.schema['query_id'].dataType.simpleString()}, uuid string, cosine double, rounded double", rows_limit)
+    by = W.partitionBy("query_id").orderBy(F.desc("rounded"), "uuid")
+    return few.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "uuid", "cosine", "rank")
+
+
+def cosine_pairs(embeddings: DataFrame, queries: DataFrame, rows_limit: int = 512) -> DataFrame:
+    """(query_id, uuid, cosine) of every vector and every query (query_id, query); those of other lengths
+    or with null components have no cosine and no row."""
+
+    def pairs(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        theirs, parts = _by_size(rows["v"]), []
+        for size, (asked, q) in _by_size(queries["q"]).items():
+            if size in theirs:
+                places, v = theirs[size]
+                parts.append((np.tile(asked, len(places)), np.repeat(places, len(asked)), vectors.cosines(v, q).ravel()))
+        of, at, cosine = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype) for i, dtype in enumerate((np.int64, np.int64, np.float64)))
+        return pa.table({"query_id": queries["query_id"].take(pa.array(of)), "uuid": rows["uuid"].take(pa.array(at)), "cosine": pa.array(cosine)})
+
+    return _grid(embeddings, queries, pairs, f"query_id {queries.schema['query_id'].dataType.simpleString()}, uuid string, cosine double", rows_limit)
 
 
 def knn_ann(embeddings: DataFrame, query: list[float], k: int = 10, tables: int = 16, bucket: float = 0.5, seed: int = 7) -> DataFrame:

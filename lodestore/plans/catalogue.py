@@ -182,11 +182,11 @@ def cosine_pairs(spark, sf):
 
 @query("SELECT a.memory_uuid AS a, b.memory_uuid AS b, round(list_cosine_similarity(a.vector, b.vector), 6) AS cosine FROM emb a JOIN (SELECT * FROM emb WHERE memory_uuid IN (SELECT md5('m:' || vec_id) FROM embeddings WHERE vec_id % 50 = 0)) b ON true")
 def cosine_pairs_every_50th(spark, sf):
-    e = fx.state(spark, sf).embeddings.select("memory_uuid", "vector")
+    e = fx.embeddings(spark, sf)
     ids = fx.table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(fx._uuid("m", F.col("vec_id").cast("string")).alias("memory_uuid"))
     some = e.join(ids, "memory_uuid", "left_semi")
-    pairs = e.select(F.col("memory_uuid").alias("a"), F.col("vector").alias("x")).crossJoin(some.select(F.col("memory_uuid").alias("b"), F.col("vector").alias("y")))
-    return pairs.select("a", "b", r6(vectors.cosine(F.col("x"), F.col("y"))).alias("cosine"))
+    pairs = retrieval.cosine_pairs(e, some.select(F.col("memory_uuid").alias("query_id"), F.col("vector").alias("query")))
+    return pairs.select(F.col("uuid").alias("a"), F.col("query_id").alias("b"), r6("cosine").alias("cosine"))
 
 
 @query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS ok FROM embeddings")

@@ -104,3 +104,27 @@ def test_extract_link_makes_no_table(spark):
 def test_link_min_confidence_makes_no_table(spark):
     plan = catalogue.QUERIES["link_min_confidence"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "entities-" not in plan
+
+
+@pytest.mark.parametrize("limit", [4096, 20])
+def test_cosines_of_blocks_against_all_pairs(spark, limit):
+    """Vectors of other lengths, zero ones and ones with nulls among them; blocks of any size."""
+    from lodestore.operators import retrieval
+
+    rows = [(f"u{i:02}", [float(i % 7) - 3, float(i % 5), float(i % 11)]) for i in range(90)] + [("x", [1.0, 2.0]), ("n", None), ("m", [1.0, None, 2.0]), ("z", [0.0, 0.0, 0.0]), ("e", [])]
+    e = spark.createDataFrame(rows, "memory_uuid string, vector array<double>")
+    found = retrieval.cosine_pairs(e, e.select(F.col("memory_uuid").alias("query_id"), F.col("vector").alias("query")), rows_limit=limit)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan.split("CoGroup")[0] and "NestedLoop" not in plan and "Cartesian" not in plan
+
+    def cosine(v, w):
+        size = sum(x * x for x in v) ** 0.5 * sum(x * x for x in w) ** 0.5
+        return sum(x * y for x, y in zip(v, w)) / size if size else 0.0
+
+    whole = [(u, v) for u, v in rows if v is not None and None not in v]
+    want = {(a, b): round(cosine(v, w), 9) for a, v in whole for b, w in whole if len(v) == len(w)}
+    got = found.collect()
+    assert len(got) == len(want) and {(r.query_id, r.uuid): round(r.cosine, 9) for r in got} == want
+    near = retrieval.knn_batch(e, e.select(F.col("memory_uuid").alias("query_id"), F.col("vector").alias("query")), 4, 0.1, rows_limit=limit)
+    best = {q: sorted((-c, u) for (a, u), c in want.items() if a == q and c >= 0.1)[:4] for q, _ in whole}
+    assert {(r.query_id, r["rank"], r.uuid) for r in near.collect()} == {(q, i + 1, u) for q, b in best.items() for i, (_, u) in enumerate(b)}
