@@ -307,7 +307,7 @@ def knn_batch(spark, sf):
 FROM emb, (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0)) WHERE rank <= 10""")
 def knn_batch_every_50th(spark, sf):
     queries = fx.table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return retrieval.knn_batch(fx.state(spark, sf).embeddings, queries, 10).select("query_id", "uuid", r6("cosine").alias("cosine"), F.col("rank").cast("long").alias("rank"))
+    return retrieval.knn_batch(fx.embeddings(spark, sf), queries, 10).select("query_id", "uuid", r6("cosine").alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""SELECT uuid, round(greatest(-1.0, least(1.0, 1 - d * d / 2)), 6) AS cosine FROM (SELECT memory_uuid AS uuid, list_distance(list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))), list_transform(q, lambda x: x / sqrt(list_dot_product(q, q)))) AS d FROM emb, qv) ORDER BY round(d, 9), uuid LIMIT {K}""", SEMANTIC)

@@ -128,3 +128,8 @@ def test_cosines_of_blocks_against_all_pairs(spark, limit):
     near = retrieval.knn_batch(e, e.select(F.col("memory_uuid").alias("query_id"), F.col("vector").alias("query")), 4, 0.1, rows_limit=limit)
     best = {q: sorted((-c, u) for (a, u), c in want.items() if a == q and c >= 0.1)[:4] for q, _ in whole}
     assert {(r.query_id, r["rank"], r.uuid) for r in near.collect()} == {(q, i + 1, u) for q, b in best.items() for i, (_, u) in enumerate(b)}
+
+
+def test_knn_of_every_50th_takes_blocks_and_makes_no_other_table(spark):
+    plan = catalogue.QUERIES["knn_batch_every_50th"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Broadcast" not in plan and "lambdafunction((lambda x" not in plan
