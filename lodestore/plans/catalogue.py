@@ -504,7 +504,7 @@ def remember_batch(spark, sf):
 @query()
 def remember_batch_state(spark, sf):
     """Of each table of the new state: its rows, and the sum of their hashes."""
-    new, _ = writes.remember(fx.state(spark, sf), fx.batch(spark, sf), NOW, vectors.mock_embedding, 64)
+    new, _ = writes.remember(fx.passing_state(spark, sf), fx.batch(spark, sf), NOW, vectors.mock_embedding, 64)
     out = None
     for name in ("memory", "memory_tags", "embeddings", "entities", "relations"):
         rows = getattr(new, name)

@@ -39,6 +39,7 @@ def _stored(build):
             _STORED[key] = path
         return spark.read.parquet(_STORED[key])
 
+    read.plan = build
     return read
 
 
@@ -102,6 +103,13 @@ def state(spark: SparkSession, sf: str) -> MemoryState:
     return MemoryState(rows.drop("tags"), embeddings(spark, sf), entities(spark, sf), relations(spark, sf), tags, postings(spark, sf))
 
 
+def passing_state(spark: SparkSession, sf: str) -> MemoryState:
+    """state() for a query that reads the graph once and no keyword index: neither is stored for it."""
+    rows = memory(spark, sf)
+    tags = rows.select(F.col("uuid").alias("memory_uuid"), F.explode("tags").alias("tag"))
+    return MemoryState(rows.drop("tags"), embeddings(spark, sf), entities.plan(spark, sf), relations.plan(spark, sf), tags)
+
+
 def bare_state(spark: SparkSession) -> MemoryState:
     """Without a row: for what reads texts only, so that no table is made for it."""
     return MemoryState(*(spark.createDataFrame([], struct(t)) for t in ("memory", "embeddings", "entities", "relations", "memory_tags")))

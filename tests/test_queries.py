@@ -133,3 +133,19 @@ def test_cosines_of_blocks_against_all_pairs(spark, limit):
 def test_knn_of_every_50th_takes_blocks_and_makes_no_other_table(spark):
     plan = catalogue.QUERIES["knn_batch_every_50th"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Broadcast" not in plan and "lambdafunction((lambda x" not in plan
+
+
+def test_remembering_a_batch_shuffles_no_relation_that_it_cannot_meet(spark):
+    from lodestore.operators import writes
+    from lodestore.plans import fixtures as fx
+
+    s = fx.state(spark, SF)
+    known = s.relations.limit(50).withColumn("predicate", F.when(F.col("confidence") > 0.15, F.col("predicate")))
+    texts = spark.createDataFrame([("a", "Ada met Grace Hopper")], "uuid string, content string")
+    new, _, made = writes.link(s.with_(relations=known), texts, 1)
+    assert made.count() == 1 and new.relations.count() == 51 and {r.uuid for r in known.collect()} < {r.uuid for r in new.relations.collect()}
+    again, _, made = writes.link(new, texts, 2)
+    assert [r.action for r in made.collect()] == ["unchanged"] and again.relations.count() == 51
+    relations = writes.remember(fx.passing_state(spark, SF), fx.batch(spark, SF), 1, None, 64, check=False)[0].relations
+    plan = relations.select(F.xxhash64(*relations.columns))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("FullOuter" in line and "source_uuid" in line for line in plan.split("\n")) and "FullOuter" in plan  # of entities only
