@@ -11,28 +11,39 @@ highest words' weights and the number of strong ones is the score; weights for c
 from the other half of the rows. Copies and most near copies of a text count once and are in one
 half, so that words of a much copied text don't pass for toxic ones.
 
-Learned from at most SAMPLE labelled texts of each class (by hash of their ids). Defined results:
-null and empty texts have no words. With no toxic rows to learn from all scores are 0.
+Learned from every labelled text that isn't held out (train): passes over these texts count the
+characters' trigrams, the features of toxic texts, the groups of copies that have each of them, and
+the texts of each summary; only such counts leave the tasks. Model does the same on lists of texts.
+Defined results: null and empty texts have no words. With no toxic rows to learn from all scores
+are 0.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from itertools import islice
 from math import log
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .labelled import Constant, Logistic, class_weights, held_out, training_rows
+from .labelled import Constant, Logistic, all_training_rows, class_weights, held_out
 from .quality import score_udf
+from .shared import small, written
 
-SAMPLE, LEAST, STRONG, THRESHOLD = 3000, 4, 3.0, 0.5
-CACHE_WORDS, CACHE_LETTERS = 300_000, 64
+LEAST, STRONG, THRESHOLD = 4, 3.0, 0.5
+CACHE_WORDS, CACHE_LETTERS, CACHES = 300_000, 64, 6
+HELD, BATCH = 500_000, 50_000
+RIDGE = 0.1
 
 #: What characters of leetspeak stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
@@ -49,26 +60,69 @@ _RUNS = re.compile(r"((.)\2*)", re.DOTALL)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-class CharacterModel:
+_caches: dict[tuple[str, str], dict] = {}
+
+
+def kept(key: str, name: str) -> dict:
+    """A cache of this process, so that tasks which it runs in turn share what they looked up. The oldest goes."""
+    if (key, name) not in _caches:
+        while len(_caches) >= CACHES:
+            del _caches[next(iter(_caches))]
+        _caches[key, name] = {}
+    return _caches[key, name]
+
+
+class Cached:
+    """Has caches, named by CACHED, that stay behind when it is sent to a task."""
+
+    CACHED: tuple[str, ...] = ()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in self.CACHED}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        for name in self.CACHED:
+            setattr(self, name, kept(self.key, name))
+
+
+def triples(words: Counter) -> Counter:
+    """Trigrams of words with two spaces before and one after."""
+    out: Counter = Counter()
+    for word, n in words.items():
+        s = f"  {word} "
+        for i in range(2, len(s)):
+            out[s[i - 2 : i + 1]] += n
+    return out
+
+
+class CharacterModel(Cached):
     """Trigrams of letters and the space at both ends of words, from counts of words."""
 
+    CACHED = ("costs",)
+
     def __init__(self, words: Counter):
-        pairs, triples, ones = Counter(), Counter(), Counter()
-        for word, n in words.items():
-            s = f"  {word} "
-            for i in range(2, len(s)):
-                triples[s[i - 2 : i + 1]] += n
-                pairs[s[i - 1 : i + 1]] += n
-                ones[s[i]] += n
-        contexts2, contexts1, total = Counter(), Counter(), max(1, sum(ones.values()))
-        for t, n in triples.items():
+        self._count(triples(words))
+
+    @classmethod
+    def of(cls, found: dict[str, int]) -> CharacterModel:
+        """From counts of trigrams."""
+        self = cls.__new__(cls)
+        self._count(found)
+        return self
+
+    def _count(self, found: dict[str, int]) -> None:
+        pairs, ones, contexts2, contexts1 = Counter(), Counter(), Counter(), Counter()
+        for t, n in found.items():
+            pairs[t[1:]] += n
+            ones[t[2]] += n
             contexts2[t[:2]] += n
-        for t, n in pairs.items():
-            contexts1[t[0]] += n
+            contexts1[t[1]] += n
+        total = max(1, sum(ones.values()))
         self.one = {c: n / total for c, n in ones.items()}
         self.two = {t: n / contexts1[t[0]] for t, n in pairs.items()}
-        self.three = {t: n / contexts2[t[:2]] for t, n in triples.items()}
-        self.costs: dict[str, float] = {}  # those that were asked for
+        self.three = {t: n / contexts2[t[:2]] for t, n in found.items()}
+        self.key, self.costs = uuid.uuid4().hex, {}  # those that were asked for
 
     def cost(self, before: str, c: str) -> float:
         """-log P(c | the last two characters), interpolated."""
@@ -127,11 +181,23 @@ def _forms(word: str) -> set[str]:
     return out
 
 
-class Reader:
+def _bare_word(word: str) -> str | None:
+    """A written word without marks at the ends, if it is all letters."""
+    return w if (w := _EDGES.sub("", word)).isalpha() else None
+
+
+def spelt(text: str) -> set[str]:
+    """Runs of single characters between spaces; those of one character only are junk."""
+    return {m[0] for m in _SPACED.finditer(text) if len(set(m[0]) - {" ", "\t"}) > 1}
+
+
+class Reader(Cached):
     """Words of texts as features."""
 
+    CACHED = ("read",)
+
     def __init__(self, model: CharacterModel | None):
-        self.model, self.read = model, {}
+        self.model, self.key, self.read = model, uuid.uuid4().hex, {}
 
     def readings(self, word: str) -> list[str]:
         """A written word (lower case, no white space) and what it is read as, without marks at the ends."""
@@ -140,7 +206,7 @@ class Reader:
         if self.model and _DISGUISED.search(word) and _LETTER.search(word):
             if (found := self.read.get(word)) is None:
                 found = [x for read in decode(word, self.model).split(" ") if (x := _EDGES.sub("", read)) and x != bare]
-                if len(self.read) < CACHE_WORDS // 10 and len(word) <= CACHE_LETTERS:
+                if len(self.read) < CACHE_WORDS // 3 and len(word) <= CACHE_LETTERS:
                     self.read[word] = found
             out += found
         return out
@@ -149,22 +215,24 @@ class Reader:
         """Features of one written word."""
         return set().union(*map(_forms, self.readings(word)))
 
+    def words(self, runs: Iterable[str]) -> set[str]:
+        """Words spelt by runs of single characters."""
+        return {read for run in runs for read in decode(run, self.model).split(" ") if len(read) > 2} if self.model else set()
+
     def spaced(self, text: str) -> set[str]:
-        """Words spelt with single characters between spaces; runs of one character are junk."""
-        out: set[str] = set()
-        if self.model:
-            for m in _SPACED.finditer(text):
-                if len(set(m[0]) - {" ", "\t"}) > 1:
-                    for read in decode(m[0], self.model).split(" "):
-                        if len(read) > 2:
-                            out.add(read)
-        return out
+        """Words spelt with single characters between spaces."""
+        return self.words(spelt(text))
+
+
+def _copy_of(words: list[str]) -> int:
+    found = [" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))]
+    return int.from_bytes(blake2b(min(found, key=lambda x: (crc32(x), x)), digest_size=8).digest(), "little", signed=True)
 
 
 def copy_key(text: str) -> int:
-    """Equal for texts of the same words, and mostly for near copies: the least hash of three words in a row."""
-    words = text.lower().split()
-    return min((crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))))
+    """Equal for texts of the same words, and mostly for near copies: a 64-bit hash of the three words in a
+    row whose crc32 is least (32 bits alone would soon be equal for other texts too)."""
+    return _copy_of(text.lower().split())
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n: tuple[int, int]) -> np.ndarray:
@@ -180,17 +248,19 @@ def summary(words) -> tuple[float, float, float]:
     return (top[0] if top else 0.0, top[1] if len(top) > 1 else 0.0, np.log1p(sum(w > STRONG for w in top)))
 
 
-class Model:
+class Model(Cached):
     """Training keeps numbers of features only: those that LEAST toxic texts have."""
 
+    CACHED = ("cache",)
+
     def __init__(self, texts: list[list[str]], totals: list[int]):
-        self.reader, self.weights, self.cache = Reader(None), None, {}
+        self._set(Reader(None), None, None)
         if not texts[0] or not texts[1]:
             self.calibrated = Constant(1.0 if texts[1] else 0.0)
             return
         counted: Counter = Counter()
         for text in (t for c in texts for t in c):
-            counted.update({w for x in text.lower().split() if (w := _EDGES.sub("", x)).isalpha()})
+            counted.update({w for x in text.lower().split() if (w := _bare_word(x))})
         self.reader = Reader(CharacterModel(counted))
         del counted
         seen: Counter = Counter()
@@ -205,7 +275,7 @@ class Model:
                 docs.append((np.cumsum([0, *map(len, words)])[:-1], np.array([f for w in words for f in w], dtype=np.int32)))
                 y.append(k)
                 copy.append(copy_key(text))
-        y, copy = np.array(y), np.unique(copy, return_inverse=True)[1]
+        y, copy = np.array(y), np.array(copy)
         half = copy & 1  # copies are in one half
 
         def learn(rows: np.ndarray) -> np.ndarray:
@@ -227,9 +297,16 @@ class Model:
                 x[i] = summary([w for w in np.maximum.reduceat(weights[features], starts).tolist() if w] if len(features) else [])
         final = learn(np.full(len(docs), True))
         self.weights = {f: float(final[i]) for f, i in number.items() if final[i]}
-        self.reader.read.clear()  # the model goes to every task
-        self.reader.model.costs.clear()
-        self.calibrated = Logistic(x, y, class_weights(y, totals), ridge=0.1)
+        self.calibrated = Logistic(x, y, class_weights(y, totals), ridge=RIDGE)
+
+    @classmethod
+    def of(cls, reader: Reader, weights: dict[str, float] | None, calibrated) -> Model:
+        self = cls.__new__(cls)
+        self._set(reader, weights, calibrated)
+        return self
+
+    def _set(self, reader: Reader, weights: dict[str, float] | None, calibrated) -> None:
+        self.reader, self.weights, self.calibrated, self.key, self.cache = reader, weights, calibrated, uuid.uuid4().hex, {}
 
     def _words(self, text: str) -> set[str]:
         text = text.lower()
@@ -256,14 +333,169 @@ class Model:
         return self.calibrated(out)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+PREPARED = pa.schema([("y", pa.int32()), ("copy", pa.int64()), ("words", pa.string()), ("spelt", pa.list_(pa.string())), ("gram", pa.string()), ("n", pa.int64())])
+COUNTED = pa.schema([("y", pa.int32()), ("half", pa.int32()), ("feature", pa.int32()), ("copy", pa.int64()), ("n", pa.int64())])
+FORMS = pa.schema([("form", pa.string()), ("n", pa.int64())])
+SUMMED = pa.schema([("y", pa.int32()), ("a", pa.float64()), ("b", pa.float64()), ("c", pa.float64()), ("n", pa.int64())])
+
+
+def _rows(schema: pa.Schema, rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most BATCH rows; rows may be short: the rest is null."""
+    rows = iter(rows)
+    while part := list(islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] if i < len(r) else None for r in part], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _prepare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text y, the copy key, its distinct words and spelt runs; and counts of trigrams."""
+    counted, bare = Counter(), {}
+
+    def grams() -> Iterator[pa.RecordBatch]:
+        yield from _rows(PREPARED, ((None, None, None, None, t, n) for t, n in triples(counted).items()))
+        counted.clear()
+
+    for batch in batches:
+        out = []
+        for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+            text = text.lower()
+            words = text.split()
+            distinct, letters = set(words), set()
+            for w in distinct:
+                if w not in bare:
+                    if len(bare) >= CACHE_WORDS:
+                        bare.clear()
+                    bare[w] = _bare_word(w)
+                letters.add(bare[w])
+            letters.discard(None)
+            counted.update(letters)
+            out.append((y, _copy_of(words), " ".join(distinct), list(spelt(text))))
+            if len(counted) >= CACHE_WORDS:
+                yield from grams()
+        yield from _rows(PREPARED, out)
+    yield from grams()
+
+
+def _texts(batches: Iterable[pa.RecordBatch], reader: Reader) -> Iterator[tuple]:
+    """The columns before words and spelt, and the words of each prepared text."""
+    for batch in batches:
+        *first, words, runs = (c.to_pylist() for c in batch.columns)
+        for *own, ws, rs in zip(*first, words, runs):
+            found = ws.split()
+            yield (*own, {*found, *reader.words(rs)} if rs else found)
+
+
+def _count_forms(batches: Iterable[pa.RecordBatch], reader: Reader) -> Iterator[pa.RecordBatch]:
+    """In how many texts each feature is, in parts."""
+    seen, forms = Counter(), {}
+    for (words,) in _texts(batches, reader):
+        found: set[str] = set()
+        for w in words:
+            if (of := forms.get(w)) is None:
+                of = reader.forms(w)
+                if len(forms) < CACHE_WORDS // 3:
+                    forms[w] = of
+            found |= of
+        seen.update(found)
+        if len(seen) >= HELD:
+            yield from _rows(FORMS, seen.items())
+            seen.clear()
+    yield from _rows(FORMS, seen.items())
+
+
+def _count_groups(batches: Iterable[pa.RecordBatch], reader: Reader, number: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Of texts without copies, how many of each class and half have each feature; of others (many), the
+    features of each group, which may come more than once."""
+    counts, ids = np.zeros((2, 2, len(number)), dtype=np.int64), {}
+    groups: dict[tuple[int, int], set[int]] = {}
+    held = 0
+
+    def of_groups() -> Iterator[pa.RecordBatch]:
+        return _rows(COUNTED, ((y, copy & 1, f, copy, 1) for (y, copy), features in groups.items() for f in features))
+
+    for y, copy, many, words in _texts(batches, reader):
+        found: set[int] = set()
+        for w in words:
+            if (of := ids.get(w)) is None:
+                of = tuple(number[f] for f in reader.forms(w) if f in number)
+                if len(ids) < CACHE_WORDS:
+                    ids[w] = of
+            found.update(of)
+        if not many:
+            counts[y, copy & 1, np.fromiter(found, dtype=np.int64, count=len(found))] += 1
+            continue
+        group = groups.setdefault((y, copy), set())
+        held -= len(group)
+        group |= found
+        held += len(group)
+        if held >= HELD:
+            yield from of_groups()
+            groups.clear()
+            held = 0
+    yield from of_groups()
+    yield from _rows(COUNTED, ((y, h, f, None, int(counts[y, h, f])) for y in (0, 1) for h in (0, 1) for f in np.flatnonzero(counts[y, h]).tolist()))
+
+
+def _summarise(batches: Iterable[pa.RecordBatch], models: tuple[Model, Model]) -> Iterator[pa.RecordBatch]:
+    """How many texts of each class have which summary, by the weights learned from the other half."""
+    seen: Counter = Counter()
+    for y, copy, words in _texts(batches, models[0].reader):
+        model = models[1 - (copy & 1)]
+        get = model.cache.get
+        found = [model._weight(w) if v is None else v for w, v in zip(words, map(get, words))]
+        seen[y, *map(float, summary([v for v in found if v]))] += 1
+        if len(seen) >= HELD:
+            yield from _rows(SUMMED, ((*x, n) for x, n in seen.items()))
+            seen.clear()
+    yield from _rows(SUMMED, ((*x, n) for x, n in seen.items()))
+
+
+def _weights(found: list, forms: list[str], toxic: list[str], clean: list[str], n: tuple[int, int]) -> dict[str, float]:
+    """Of rows of counts, the weights of features by the sums of some columns."""
+    odds = log_odds(*(np.array([sum(r[c] for c in cs) for r in found], dtype=float) for cs in (toxic, clean)), n)
+    return {forms[r["feature"]]: float(w) for r, w in zip(found, odds) if w}
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Model of every labelled text that isn't held out. To the driver come the trigrams of words, the
+    features of at least LEAST toxic texts and counts of those that may have a weight; no text does."""
     ship(docs.sparkSession)
-    return Model(*training_rows(docs, labels, "toxic", sample))
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    rows = all_training_rows(docs, labels, "toxic")
+    made = written(rows.mapInArrow(_prepare, "y int, copy long, words string, spelt array<string>, gram string, n long"), "toxicity-texts")
+    texts = made.where("y IS NOT NULL")
+    groups = written(texts.groupBy("y", "copy").agg(F.count("*").alias("texts")), "toxicity-groups")
+    n, copied = np.zeros((2, 2), dtype=int), 0
+    for y, half, own, many in groups.groupBy("y", F.expr("int(copy & 1)")).agg(F.count("*"), F.count_if(F.col("texts") > 1)).collect():
+        n[y, half] = own
+        copied += many
+    if not n.sum(axis=1).all():
+        return Model.of(Reader(None), None, Constant(1.0 if n[1].any() else 0.0))
+    reader = Reader(CharacterModel.of(dict(made.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n")).collect())))
+
+    seen = texts.where("y = 1").select("words", "spelt").mapInArrow(lambda batches: _count_forms(batches, reader), "form string, n long")
+    forms = sorted(r.form for r in seen.groupBy("form").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("form").collect())
+    number = {f: i for i, f in enumerate(forms)}
+
+    many = groups.where("texts > 1").select(F.col("y").alias("_y"), F.col("copy").alias("_copy"), F.lit(True).alias("many"))
+    flagged = texts.join(small(many, copied, 64), F.expr("y = _y AND copy = _copy"), "left").select("y", "copy", F.expr("many IS NOT NULL").alias("many"), "words", "spelt")
+    counted = written(flagged.mapInArrow(lambda batches: _count_groups(batches, reader, number), "y int, half int, feature int, copy long, n long"), "toxicity-counts")
+    copies = counted.where("copy IS NOT NULL").select("y", "half", "feature", "copy", "n").distinct()
+    parts = {f"n{y}{h}": (y, h) for y in (0, 1) for h in (0, 1)}
+    sums = [F.sum(F.when((F.col("y") == y) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(c) for c, (y, h) in parts.items()]
+    fits = [(["n10"], ["n00"], (n[0, 0], n[1, 0])), (["n11"], ["n01"], (n[0, 1], n[1, 1])), (["n10", "n11"], ["n00", "n01"], (n[0].sum(), n[1].sum()))]
+    #: What log_odds gives a weight is more frequent in toxic groups than in clean ones.
+    may = " OR ".join(f"({' + '.join(t)}) * {float(of[0])}D > ({' + '.join(c)}) * {float(of[1])}D" for t, c, of in fits)
+    found = counted.where("copy IS NULL").unionByName(copies).groupBy("feature").agg(*sums).where(may).collect()
+    first, second, final = (_weights(found, forms, *fit) for fit in fits)
+
+    halves = tuple(Model.of(reader, weights, None) for weights in (first, second))
+    summed = texts.select("y", "copy", "words", "spelt").mapInArrow(lambda batches: _summarise(batches, halves), "y int, a double, b double, c double, n long")
+    summed = written(summed.groupBy("y", "a", "b", "c").agg(F.sum("n").alias("n")), "toxicity-summaries")
+    return Model.of(reader, final, Logistic.of(summed, ["a", "b", "c"], ridge=RIDGE))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    score = score_udf(train(docs, labels, sample))
+    score = score_udf(train(docs, labels))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), score(F.col(f"`{text_col}`")).alias("score"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -213,3 +213,33 @@ def test_toxicity_scores_by_brute_force(spark):
         best = [b for b in best if b]
         x = [best[0] if best else 0.0, best[1] if len(best) > 1 else 0.0, np.log(1 + sum(b > 3.0 for b in best))]
         assert score == pytest.approx(sigmoid_of(model.calibrated, x), abs=1e-9)
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """More texts of each class than any sample held, with copies, near copies, repeated ids and null texts:
+    train's passes give the model of all texts in one list."""
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(9600):
+        words = [rng.choice(NICE) + rng.choice(["", "s", "ly"]) for _ in range(rng.randint(4, 9))]
+        if i % 2:
+            words[rng.randrange(len(words))] = rng.choice(["grubby", "gru6by", "f i e n d", "wretched,", rng.choice(NICE) + "ish"])
+        docs.append((i, " ".join(words)))
+        labels.append((i, 0, i % 2))
+    for i in range(0, 9600, 7):
+        docs[i] = (i, docs[i % 40][1] + (" and more" if i % 3 else ""))
+    labels += [(20, 0, 1), (21, 0, 0), (20001, 0, 1)]
+    texts, by_id = [[], []], {i: t for i, t in docs}
+    docs += [(33, "a text before all others"), (33, None), (44, "z")]
+    by_id |= {33: "", 44: min(by_id[44], "z")}
+    for i, t in by_id.items():
+        if not held(i) and i not in (20, 21):
+            texts[i % 2].append(t)
+    assert min(map(len, texts)) > 3000
+    want = toxicity.Model(texts, [len(c) for c in texts])
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.weights and model.weights == want.weights
+    assert (model.reader.model.one, model.reader.model.two, model.reader.model.three) == (want.reader.model.one, want.reader.model.two, want.reader.model.three)
+    assert model.calibrated.w == pytest.approx(want.calibrated.w, rel=1e-6)
+    some = [t for c in texts for t in c[:300]] + ["", "a f1end", "w r e t c h e d rivers"]
+    assert model.score(some) == pytest.approx(want.score(some), abs=1e-9)
