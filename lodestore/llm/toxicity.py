@@ -41,8 +41,9 @@ from .quality import score_udf
 from .shared import small, written
 
 LEAST, STRONG, THRESHOLD = 4, 3.0, 0.5
-CACHE_WORDS, CACHE_LETTERS, CACHES = 300_000, 64, 6
-HELD, BATCH = 500_000, 50_000
+#: Entries of the caches; full ones are emptied, as otherwise words that come once would fill them for good.
+CACHE_WORDS, CACHE_LETTERS, CACHES = 150_000, 64, 2
+HELD, BATCH = 200_000, 1000
 RIDGE = 0.1
 
 #: What characters of leetspeak stand for.
@@ -72,10 +73,17 @@ def kept(key: str, name: str) -> dict:
     return _caches[key, name]
 
 
+def put(cache: dict, key: str, value, most: int) -> None:
+    if len(cache) >= most:
+        cache.clear()
+    cache[key] = value
+
+
 class Cached:
     """Has caches, named by CACHED, that stay behind when it is sent to a task."""
 
     CACHED: tuple[str, ...] = ()
+    KEPT = True  # from task to task
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in self.CACHED}
@@ -83,7 +91,7 @@ class Cached:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         for name in self.CACHED:
-            setattr(self, name, kept(self.key, name))
+            setattr(self, name, kept(self.key, name) if self.KEPT else {})
 
 
 def triples(words: Counter) -> Counter:
@@ -130,8 +138,7 @@ class CharacterModel(Cached):
         if (found := self.costs.get(key)) is None:
             p = 0.7 * self.three.get(key, 0.0) + 0.25 * self.two.get(before[1] + c, 0.0) + 0.05 * self.one.get(c, 0.0)
             found = min(UNSEEN, -log(p)) if p > 0 else UNSEEN
-            if len(self.costs) < CACHE_WORDS:
-                self.costs[key] = found
+            put(self.costs, key, found, CACHE_WORDS)
         return found
 
 
@@ -206,8 +213,8 @@ class Reader(Cached):
         if self.model and _DISGUISED.search(word) and _LETTER.search(word):
             if (found := self.read.get(word)) is None:
                 found = [x for read in decode(word, self.model).split(" ") if (x := _EDGES.sub("", read)) and x != bare]
-                if len(self.read) < CACHE_WORDS // 3 and len(word) <= CACHE_LETTERS:
-                    self.read[word] = found
+                if len(word) <= CACHE_LETTERS:
+                    put(self.read, word, found, CACHE_WORDS // 3)
             out += found
         return out
 
@@ -225,8 +232,13 @@ class Reader(Cached):
 
 
 def _copy_of(words: list[str]) -> int:
-    found = [" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))]
-    return int.from_bytes(blake2b(min(found, key=lambda x: (crc32(x), x)), digest_size=8).digest(), "little", signed=True)
+    found = [x.encode() for x in map(" ".join, zip(words, words[1:], words[2:]))] or [" ".join(words).encode()]
+    sums = list(map(crc32, found))
+    least = min(sums)
+    if sums.count(least) > 1:
+        found = [min(x for x, n in zip(found, sums) if n == least)]
+        sums = [least]
+    return int.from_bytes(blake2b(found[sums.index(least)], digest_size=8).digest(), "little", signed=True)
 
 
 def copy_key(text: str) -> int:
@@ -248,10 +260,20 @@ def summary(words) -> tuple[float, float, float]:
     return (top[0] if top else 0.0, top[1] if len(top) > 1 else 0.0, np.log1p(sum(w > STRONG for w in top)))
 
 
+def best(readings: list[str], weights: dict[str, float]) -> float:
+    """The highest weight of a word's features."""
+    get, found = weights.get, 0.0
+    for bare in readings:
+        found = max(found, get(bare + "$", 0.0))
+        for k in range(4, min(7, len(bare))):
+            found = max(found, get(bare[:k], 0.0))
+    return found
+
+
 class Model(Cached):
     """Training keeps numbers of features only: those that LEAST toxic texts have."""
 
-    CACHED = ("cache",)
+    CACHED, KEPT = ("cache",), False
 
     def __init__(self, texts: list[list[str]], totals: list[int]):
         self._set(Reader(None), None, None)
@@ -313,13 +335,9 @@ class Model(Cached):
         return {*text.split(), *self.reader.spaced(text)}
 
     def _weight(self, word: str) -> float:
-        get, found = self.weights.get, 0.0
-        for bare in self.reader.readings(word):
-            found = max(found, get(bare + "$", 0.0))
-            for k in range(4, min(7, len(bare))):
-                found = max(found, get(bare[:k], 0.0))
-        if len(self.cache) < CACHE_WORDS and len(word) <= CACHE_LETTERS:
-            self.cache[word] = found
+        found = best(self.reader.readings(word), self.weights)
+        if len(word) <= CACHE_LETTERS:
+            put(self.cache, word, found, CACHE_WORDS)
         return found
 
     def score(self, texts) -> np.ndarray:
@@ -334,7 +352,7 @@ class Model(Cached):
 
 
 PREPARED = pa.schema([("y", pa.int32()), ("copy", pa.int64()), ("words", pa.string()), ("spelt", pa.list_(pa.string())), ("gram", pa.string()), ("n", pa.int64())])
-COUNTED = pa.schema([("y", pa.int32()), ("half", pa.int32()), ("feature", pa.int32()), ("copy", pa.int64()), ("n", pa.int64())])
+COUNTED = pa.schema([("y", pa.int32()), ("half", pa.int32()), ("feature", pa.int32()), ("n", pa.int64()), ("copy", pa.int64()), ("features", pa.list_(pa.int32()))])
 FORMS = pa.schema([("form", pa.string()), ("n", pa.int64())])
 SUMMED = pa.schema([("y", pa.int32()), ("a", pa.float64()), ("b", pa.float64()), ("c", pa.float64()), ("n", pa.int64())])
 
@@ -346,6 +364,13 @@ def _rows(schema: pa.Schema, rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] if i < len(r) else None for r in part], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns of at most BATCH rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            yield [c.to_pylist() for c in batch.slice(at, BATCH).columns]
+
+
 def _prepare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text y, the copy key, its distinct words and spelt runs; and counts of trigrams."""
     counted, bare = Counter(), {}
@@ -354,22 +379,23 @@ def _prepare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(PREPARED, ((None, None, None, None, t, n) for t, n in triples(counted).items()))
         counted.clear()
 
-    for batch in batches:
+    for rows in _slices(batches):
         out = []
-        for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+        for y, text in zip(*rows):
             text = text.lower()
             words = text.split()
-            distinct, letters = set(words), set()
-            for w in distinct:
-                if w not in bare:
-                    if len(bare) >= CACHE_WORDS:
-                        bare.clear()
-                    bare[w] = _bare_word(w)
-                letters.add(bare[w])
+            distinct = set(words)
+            new = distinct - bare.keys()
+            if len(bare) + len(new) > CACHE_WORDS:
+                bare.clear()
+                new = distinct
+            for w in new:
+                bare[w] = _bare_word(w)
+            letters = set(map(bare.__getitem__, distinct))
             letters.discard(None)
             counted.update(letters)
             out.append((y, _copy_of(words), " ".join(distinct), list(spelt(text))))
-            if len(counted) >= CACHE_WORDS:
+            if len(counted) >= HELD:
                 yield from grams()
         yield from _rows(PREPARED, out)
     yield from grams()
@@ -377,8 +403,7 @@ def _prepare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterable[pa.RecordBatch], reader: Reader) -> Iterator[tuple]:
     """The columns before words and spelt, and the words of each prepared text."""
-    for batch in batches:
-        *first, words, runs = (c.to_pylist() for c in batch.columns)
+    for *first, words, runs in _slices(batches):
         for *own, ws, rs in zip(*first, words, runs):
             found = ws.split()
             yield (*own, {*found, *reader.words(rs)} if rs else found)
@@ -392,8 +417,7 @@ def _count_forms(batches: Iterable[pa.RecordBatch], reader: Reader) -> Iterator[
         for w in words:
             if (of := forms.get(w)) is None:
                 of = reader.forms(w)
-                if len(forms) < CACHE_WORDS // 3:
-                    forms[w] = of
+                put(forms, w, of, CACHE_WORDS // 5)
             found |= of
         seen.update(found)
         if len(seen) >= HELD:
@@ -410,15 +434,14 @@ def _count_groups(batches: Iterable[pa.RecordBatch], reader: Reader, number: dic
     held = 0
 
     def of_groups() -> Iterator[pa.RecordBatch]:
-        return _rows(COUNTED, ((y, copy & 1, f, copy, 1) for (y, copy), features in groups.items() for f in features))
+        return _rows(COUNTED, ((y, copy & 1, None, None, copy, list(features)) for (y, copy), features in groups.items()))
 
     for y, copy, many, words in _texts(batches, reader):
         found: set[int] = set()
         for w in words:
             if (of := ids.get(w)) is None:
                 of = tuple(number[f] for f in reader.forms(w) if f in number)
-                if len(ids) < CACHE_WORDS:
-                    ids[w] = of
+                put(ids, w, of, CACHE_WORDS)
             found.update(of)
         if not many:
             counts[y, copy & 1, np.fromiter(found, dtype=np.int64, count=len(found))] += 1
@@ -432,16 +455,22 @@ def _count_groups(batches: Iterable[pa.RecordBatch], reader: Reader, number: dic
             groups.clear()
             held = 0
     yield from of_groups()
-    yield from _rows(COUNTED, ((y, h, f, None, int(counts[y, h, f])) for y in (0, 1) for h in (0, 1) for f in np.flatnonzero(counts[y, h]).tolist()))
+    yield from _rows(COUNTED, ((y, h, f, int(counts[y, h, f])) for y in (0, 1) for h in (0, 1) for f in np.flatnonzero(counts[y, h]).tolist()))
 
 
-def _summarise(batches: Iterable[pa.RecordBatch], models: tuple[Model, Model]) -> Iterator[pa.RecordBatch]:
+def _summarise(batches: Iterable[pa.RecordBatch], reader: Reader, weights: tuple[dict[str, float], dict[str, float]]) -> Iterator[pa.RecordBatch]:
     """How many texts of each class have which summary, by the weights learned from the other half."""
-    seen: Counter = Counter()
-    for y, copy, words in _texts(batches, models[0].reader):
-        model = models[1 - (copy & 1)]
-        get = model.cache.get
-        found = [model._weight(w) if v is None else v for w, v in zip(words, map(get, words))]
+    seen, known = Counter(), {}
+    for y, copy, words in _texts(batches, reader):
+        found = []
+        for w in words:
+            if (both := known.get(w)) is None:
+                readings = reader.readings(w)
+                both = tuple(best(readings, of) for of in weights) if readings else (0.0, 0.0)
+                both = both if any(both) else ()
+                put(known, w, both, CACHE_WORDS)
+            if both:
+                found.append(both[1 - (copy & 1)])
         seen[y, *map(float, summary([v for v in found if v]))] += 1
         if len(seen) >= HELD:
             yield from _rows(SUMMED, ((*x, n) for x, n in seen.items()))
@@ -463,10 +492,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     made = written(rows.mapInArrow(_prepare, "y int, copy long, words string, spelt array<string>, gram string, n long"), "toxicity-texts")
     texts = made.where("y IS NOT NULL")
     groups = written(texts.groupBy("y", "copy").agg(F.count("*").alias("texts")), "toxicity-groups")
-    n, copied = np.zeros((2, 2), dtype=int), 0
-    for y, half, own, many in groups.groupBy("y", F.expr("int(copy & 1)")).agg(F.count("*"), F.count_if(F.col("texts") > 1)).collect():
+    n, many, copied = np.zeros((2, 2), dtype=int), 0, np.zeros(2, dtype=int)
+    for y, half, own, found in groups.groupBy("y", F.expr("int(copy & 1)")).agg(F.count("*"), F.count_if(F.col("texts") > 1)).collect():
         n[y, half] = own
-        copied += many
+        many += found
+        copied[half] += y * found
     if not n.sum(axis=1).all():
         return Model.of(Reader(None), None, Constant(1.0 if n[1].any() else 0.0))
     reader = Reader(CharacterModel.of(dict(made.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n")).collect())))
@@ -475,20 +505,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     forms = sorted(r.form for r in seen.groupBy("form").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("form").collect())
     number = {f: i for i, f in enumerate(forms)}
 
-    many = groups.where("texts > 1").select(F.col("y").alias("_y"), F.col("copy").alias("_copy"), F.lit(True).alias("many"))
-    flagged = texts.join(small(many, copied, 64), F.expr("y = _y AND copy = _copy"), "left").select("y", "copy", F.expr("many IS NOT NULL").alias("many"), "words", "spelt")
-    counted = written(flagged.mapInArrow(lambda batches: _count_groups(batches, reader, number), "y int, half int, feature int, copy long, n long"), "toxicity-counts")
-    copies = counted.where("copy IS NOT NULL").select("y", "half", "feature", "copy", "n").distinct()
-    parts = {f"n{y}{h}": (y, h) for y in (0, 1) for h in (0, 1)}
-    sums = [F.sum(F.when((F.col("y") == y) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(c) for c, (y, h) in parts.items()]
+    copies = groups.where("texts > 1").select(F.col("y").alias("_y"), F.col("copy").alias("_copy"), F.lit(True).alias("many"))
+    flagged = texts.join(small(copies, many, 64), F.expr("y = _y AND copy = _copy"), "left").select("y", "copy", F.expr("many IS NOT NULL").alias("many"), "words", "spelt")
+    counted = written(flagged.mapInArrow(lambda batches: _count_groups(batches, reader, number), "y int, half int, feature int, n long, copy long, features array<int>"), "toxicity-counts")
+    cells = [(y, h) for y in (0, 1) for h in (0, 1)]
+    sums = [F.sum(F.when((F.col("y") == y) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"n{y}{h}") for y, h in cells]
     fits = [(["n10"], ["n00"], (n[0, 0], n[1, 0])), (["n11"], ["n01"], (n[0, 1], n[1, 1])), (["n10", "n11"], ["n00", "n01"], (n[0].sum(), n[1].sum()))]
-    #: What log_odds gives a weight is more frequent in toxic groups than in clean ones.
-    may = " OR ".join(f"({' + '.join(t)}) * {float(of[0])}D > ({' + '.join(c)}) * {float(of[1])}D" for t, c, of in fits)
-    found = counted.where("copy IS NULL").unionByName(copies).groupBy("feature").agg(*sums).where(may).collect()
+
+    def may_weigh(more: np.ndarray) -> str:
+        """Holds where a feature may have a weight, if up to more toxic groups of each half are added: what
+        log_odds gives one is more than 4 times as frequent in toxic groups (e ** 1.5 is 4.48)."""
+        return " OR ".join(f"({' + '.join(t)} + {sum(int(more[int(c[2])]) for c in t)}) * {float(of[0])}D > 4 * ({' + '.join(c)}) * {float(of[1])}D" for t, c, of in fits)
+
+    #: Features that the texts without copies show to have no weight aren't looked for in groups of copies.
+    single = counted.where("feature IS NOT NULL").select("feature", "y", "half", "n")
+    few = single.groupBy("feature").agg(*sums).where(f"NOT ({may_weigh(copied)})").select(F.col("feature").alias("_feature"))
+    of_groups = counted.where("features IS NOT NULL").select(F.explode("features").alias("feature"), "y", "half", "copy")
+    of_groups = of_groups.join(small(few, len(forms), 32), F.col("feature") == F.col("_feature"), "left_anti").distinct().select("feature", "y", "half", F.lit(1).cast("long").alias("n"))
+    found = single.unionByName(of_groups).groupBy("feature").agg(*sums).where(may_weigh(np.zeros(2))).collect()
     first, second, final = (_weights(found, forms, *fit) for fit in fits)
 
-    halves = tuple(Model.of(reader, weights, None) for weights in (first, second))
-    summed = texts.select("y", "copy", "words", "spelt").mapInArrow(lambda batches: _summarise(batches, halves), "y int, a double, b double, c double, n long")
+    summed = texts.select("y", "copy", "words", "spelt").mapInArrow(lambda batches: _summarise(batches, reader, (first, second)), "y int, a double, b double, c double, n long")
     summed = written(summed.groupBy("y", "a", "b", "c").agg(F.sum("n").alias("n")), "toxicity-summaries")
     return Model.of(reader, final, Logistic.of(summed, ["a", "b", "c"], ridge=RIDGE))
 
