@@ -3,10 +3,13 @@ folder, broadcasts behind a size check, and gapless numbering without one big ta
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from math import isqrt
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,6 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system, at a task's end: idle workers stay
+    for the next task, beside the executor's JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
 def fits(rows: int, row_bytes: int) -> bool:
     return rows * row_bytes <= BROADCAST_BYTES
 

@@ -25,25 +25,24 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from hashlib import blake2b
-from itertools import islice
+from itertools import chain, islice
 from math import log
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
 from .labelled import Constant, Logistic, all_training_rows, class_weights, held_out
-from .quality import score_udf
-from .shared import small, written
+from .shared import release, small, written
 
 LEAST, STRONG, THRESHOLD = 4, 3.0, 0.5
 #: Entries of the caches; full ones are emptied, as otherwise words that come once would fill them for good.
-CACHE_WORDS, CACHE_LETTERS, CACHES = 150_000, 64, 2
-HELD, BATCH = 200_000, 1000
+CACHE_WORDS, CACHE_LETTERS, CACHE_READ, CACHES = 150_000, 64, 40_000, 2
+HELD, BATCH = 200_000, 500
 RIDGE = 0.1
 
 #: What characters of leetspeak stand for.
@@ -57,7 +56,12 @@ _SPACED = re.compile(r"(?<!\S)\S(?:(?:[ \t]\S){2,}|([ \t]{2,})\S(?:\1\S)+)(?!\S)
 _GAPS = frozenset(" .-_*~'\t")
 #: Words whose lattice has more than one reading: leet, a character twice in a row, marks between others.
 _DISGUISED = re.compile(rf"[{re.escape(''.join(LEET))}]|([^.\-_*~'])\1|[^.\-_*~'][.\-_*~']+[^.\-_*~']")
+_DOUBLED = re.compile(r"(.)\1")
+_ENDS = frozenset(".,;:?")
 _RUNS = re.compile(r"((.)\2*)", re.DOTALL)
+_MANY = re.escape("".join(LEET) + "".join(sorted(_GAPS)))
+#: From a run of several readings to two characters in a row of one reading each, or to the end.
+_STRETCH = re.compile(rf"(?:(?:[{_MANY}]|(?P<a>[^{_MANY}])(?P=a)+)(?:(?P<b>[^{_MANY}])(?!(?P=b)))?)+(?:(?P<c>[^{_MANY}])(?!(?P=c)))?")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -83,7 +87,6 @@ class Cached:
     """Has caches, named by CACHED, that stay behind when it is sent to a task."""
 
     CACHED: tuple[str, ...] = ()
-    KEPT = True  # from task to task
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in self.CACHED}
@@ -91,7 +94,7 @@ class Cached:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         for name in self.CACHED:
-            setattr(self, name, kept(self.key, name) if self.KEPT else {})
+            setattr(self, name, kept(self.key, name))
 
 
 def triples(words: Counter) -> Counter:
@@ -104,10 +107,35 @@ def triples(words: Counter) -> Counter:
     return out
 
 
+def triples_of(words: list[str], n: np.ndarray) -> Iterator[tuple[str, int]]:
+    """triples() of many words, the i-th n[i] times; a trigram may come more than once."""
+    for at in range(0, len(words), CACHE_WORDS // 4):
+        part, times = words[at : at + CACHE_WORDS // 4], n[at : at + CACHE_WORDS // 4]
+        text = np.frombuffer(("  " + "   ".join(part) + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        of = np.repeat(np.arange(len(part)), np.fromiter(map(len, part), np.int64, len(part)) + 3)
+        number = np.zeros(0x110000, dtype=np.int64)
+        number[text] = 1
+        letters = np.flatnonzero(number)
+        number[letters] = np.arange(len(letters))
+        text, k = number[text], len(letters)
+        inside = of[:-2] == of[2:]
+        found = ((text[:-2] * k + text[1:-1]) * k + text[2:])[inside]
+        times = times[of[:-2][inside]]
+        if k**3 > 1 << 22:
+            keys, found = np.unique(found, return_inverse=True)
+        else:
+            keys = np.arange(k**3)
+        sums = np.bincount(found, weights=times, minlength=len(keys))
+        for i in np.flatnonzero(sums).tolist():
+            rest, c = divmod(int(keys[i]), k)
+            a, b = divmod(rest, k)
+            yield chr(letters[a]) + chr(letters[b]) + chr(letters[c]), int(sums[i])
+
+
 class CharacterModel(Cached):
     """Trigrams of letters and the space at both ends of words, from counts of words."""
 
-    CACHED = ("costs",)
+    CACHED = ("costs", "stretches")
 
     def __init__(self, words: Counter):
         self._count(triples(words))
@@ -130,7 +158,7 @@ class CharacterModel(Cached):
         self.one = {c: n / total for c, n in ones.items()}
         self.two = {t: n / contexts1[t[0]] for t, n in pairs.items()}
         self.three = {t: n / contexts2[t[:2]] for t, n in found.items()}
-        self.key, self.costs = uuid.uuid4().hex, {}  # those that were asked for
+        self.key, self.costs, self.stretches = uuid.uuid4().hex, {}, {}  # those that were asked for
 
     def cost(self, before: str, c: str) -> float:
         """-log P(c | the last two characters), interpolated."""
@@ -138,7 +166,7 @@ class CharacterModel(Cached):
         if (found := self.costs.get(key)) is None:
             p = 0.7 * self.three.get(key, 0.0) + 0.25 * self.two.get(before[1] + c, 0.0) + 0.05 * self.one.get(c, 0.0)
             found = min(UNSEEN, -log(p)) if p > 0 else UNSEEN
-            put(self.costs, key, found, CACHE_WORDS)
+            put(self.costs, key, found, CACHE_READ)
         return found
 
 
@@ -158,9 +186,9 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
     return [_reads(c, min(4, len(run))) for run, c in _RUNS.findall(text)]
 
 
-def decode(text: str, model: CharacterModel) -> str:
-    """The likeliest reading, by Viterbi over the last two characters."""
-    states: dict[str, tuple[float, tuple]] = {"  ": (0.0, ())}
+def _viterbi(text: str, before: str, end: str, model: CharacterModel) -> str:
+    """The likeliest reading after the characters before, by Viterbi over the last two; end follows."""
+    states: dict[str, tuple[float, tuple]] = {before: (0.0, ())}
     known = model.costs.get
     for reads in lattice(text):
         after: dict[str, tuple[float, tuple]] = {}
@@ -174,12 +202,31 @@ def decode(text: str, model: CharacterModel) -> str:
                 if at not in after or sum_ < after[at][0]:
                     after[at] = (sum_, (path, read))
         states = after
-    _, _, path = min(((cost + model.cost(last, " "), last, path) for last, (cost, path) in states.items()), key=lambda x: x[:2])
+    _, _, path = min(((cost + (model.cost(last, end) if end else 0.0), last, path) for last, (cost, path) in states.items()), key=lambda x: x[:2])
     parts = []
     while path:
         path, read = path
         parts.append(read)
-    return "".join(reversed(parts)).strip()
+    return "".join(reversed(parts))
+
+
+def decode(text: str, model: CharacterModel) -> str:
+    """The likeliest reading, by Viterbi over the last two characters. Where two characters in a row have one
+    reading each, one state is left: what follows doesn't change the best path up to there. So each
+    stretch between such places is decoded by itself, and words share those that were decoded before."""
+    parts, upto, known = [], 0, model.stretches
+    for m in _STRETCH.finditer(text):
+        a, b = m.span()
+        end = " " if b == len(text) else ""
+        before = text[a - 2 : a] if a > 1 else ("  " + text[:a])[-2:]
+        key = (before + m[0], end)
+        if (found := known.get(key)) is None:
+            found = _viterbi(m[0], before, end, model)
+            if b - a <= CACHE_LETTERS:
+                put(known, key, found, CACHE_READ)
+        parts += (text[upto:a], found)
+        upto = b
+    return ("".join(parts) + text[upto:]).strip()
 
 
 def _forms(word: str) -> set[str]:
@@ -188,34 +235,41 @@ def _forms(word: str) -> set[str]:
     return out
 
 
+def _bare(word: str) -> str:
+    """A written word without marks at the ends."""
+    return word if word.isalpha() else _EDGES.sub("", word)
+
+
 def _bare_word(word: str) -> str | None:
-    """A written word without marks at the ends, if it is all letters."""
-    return w if (w := _EDGES.sub("", word)).isalpha() else None
+    """The same, if it is all letters."""
+    return w if (w := _bare(word)).isalpha() else None
 
 
-def spelt(text: str) -> set[str]:
-    """Runs of single characters between spaces; those of one character only are junk."""
+def spelt(text: str, words: list[str]) -> set[str]:
+    """Runs of single characters between spaces; those of one character only are junk. words: text.split()."""
+    try:
+        if b"\1\1\1" not in bytes(map(len, words)):
+            return set()
+    except ValueError:  # a word of over 255 characters
+        pass
     return {m[0] for m in _SPACED.finditer(text) if len(set(m[0]) - {" ", "\t"}) > 1}
 
 
-class Reader(Cached):
+class Reader:
     """Words of texts as features."""
 
-    CACHED = ("read",)
-
     def __init__(self, model: CharacterModel | None):
-        self.model, self.key, self.read = model, uuid.uuid4().hex, {}
+        self.model = model
 
     def readings(self, word: str) -> list[str]:
         """A written word (lower case, no white space) and what it is read as, without marks at the ends."""
-        bare = _EDGES.sub("", word)
+        if word.isalpha():
+            bare, several = word, _DOUBLED.search(word)
+        else:
+            bare, several = _EDGES.sub("", word), _DISGUISED.search(word) and _LETTER.search(word)
         out = [bare] if bare else []
-        if self.model and _DISGUISED.search(word) and _LETTER.search(word):
-            if (found := self.read.get(word)) is None:
-                found = [x for read in decode(word, self.model).split(" ") if (x := _EDGES.sub("", read)) and x != bare]
-                if len(word) <= CACHE_LETTERS:
-                    put(self.read, word, found, CACHE_WORDS // 3)
-            out += found
+        if several and self.model:
+            out += [x for read in decode(word, self.model).split(" ") if (x := _bare(read)) and x != bare]
         return out
 
     def forms(self, word: str) -> set[str]:
@@ -228,23 +282,61 @@ class Reader(Cached):
 
     def spaced(self, text: str) -> set[str]:
         """Words spelt with single characters between spaces."""
-        return self.words(spelt(text))
+        return self.words(spelt(text, text.split()))
+
+
+class Words(dict):
+    """Numbers of words, in the order in which they came."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' words, and how many each text has."""
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum())), n
+
+    def since(self, n: int) -> list[str]:
+        return list(islice(self, n, None))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting (np.unique hashes, which is slower here)."""
+    x = np.sort(x)
+    return x[np.flatnonzero(np.diff(x, prepend=x[:1] - 1))]
+
+
+def collapsed(words: list[str]) -> list[str]:
+    """Words (not empty, without line ends) in which a character comes but once in a row."""
+    text = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return text[np.diff(text, prepend=0x110000) != 0].tobytes().decode("utf-32-le", "surrogatepass").split("\n") if words else []
+
+
+def _code(word: str) -> int:
+    data = word.encode()
+    return crc32(data) + (len(data) << 32)
 
 
-def _copy_of(words: list[str]) -> int:
-    found = [x.encode() for x in map(" ".join, zip(words, words[1:], words[2:]))] or [" ".join(words).encode()]
-    sums = list(map(crc32, found))
-    least = min(sums)
-    if sums.count(least) > 1:
-        found = [min(x for x, n in zip(found, sums) if n == least)]
-        sums = [least]
-    return int.from_bytes(blake2b(found[sums.index(least)], digest_size=8).digest(), "little", signed=True)
+def copy_keys(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """copy_key of texts by the codes of all their words (unsigned) and how many each has."""
+    ends = np.cumsum(n)
+    left = np.repeat(ends, n) - np.arange(len(codes))  # words to the text's end; none follow that
+    after = np.concatenate([codes, np.zeros(2, dtype=np.uint64)])
+    sums = codes * np.uint64(0x9E3779B97F4A7C15) + np.where(left > 1, after[1:-1], 0) * np.uint64(0xC2B2AE3D27D4EB4F) + np.where(left > 2, after[2:], 0) * np.uint64(0x165667B19E3779F9)
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        sums = (sums ^ (sums >> np.uint64(shift))) * np.uint64(times)
+    sums[(left < 3) & (left < np.repeat(n, n))] = np.uint64(2**64 - 1)
+    out = np.zeros(len(n), dtype=np.uint64)
+    if len(codes):
+        out[n > 0] = np.minimum.reduceat(sums, (ends - n)[n > 0])
+    return out.view(np.int64)
 
 
 def copy_key(text: str) -> int:
-    """Equal for texts of the same words, and mostly for near copies: a 64-bit hash of the three words in a
-    row whose crc32 is least (32 bits alone would soon be equal for other texts too)."""
-    return _copy_of(text.lower().split())
+    """Equal for texts of the same words, and mostly for near copies: the least 64-bit hash of three words in a row."""
+    words = text.lower().split()
+    return int(copy_keys(np.array(list(map(_code, words)), dtype=np.uint64), np.array([len(words)]))[0])
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n: tuple[int, int]) -> np.ndarray:
@@ -270,10 +362,51 @@ def best(readings: list[str], weights: dict[str, float]) -> float:
     return found
 
 
-class Model(Cached):
-    """Training keeps numbers of features only: those that LEAST toxic texts have."""
+class Weighed:
+    """Texts by the weights of their words. Words are numbered, and each is weighed when it comes first."""
+
+    def __init__(self, reader: Reader, weights: Iterable[dict[str, float]]):
+        self.reader, self.weights = reader, list(weights)
+        #: First letters of all features: the last $ of one may be the end of a word or a character of it.
+        self.heads = {x[:4] for of in self.weights for f in of for x in (f, f[:-1])}
+        self.short = set(collapsed([x for x in self.heads if x]))
+        self.lengths = sorted(set(map(len, self.short)))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.words, self.found = Words(), np.zeros((len(self.weights), 0))
+
+    def _weigh(self, words: list[str]) -> np.ndarray:
+        """Of letters (and one mark) only letters in a row are read as fewer or more of the same. So words that
+        begin otherwise than all features, when a letter comes but once in a row, have no weight."""
+        out = np.zeros((len(self.weights), len(words)))
+        heads, short, lengths = self.heads, self.short, self.lengths
+        for i, (word, plain) in enumerate(zip(words, collapsed(words))):
+            if (word.isalpha() or word[-1] in _ENDS and word[:-1].isalpha()) and not any([plain[:k] in short for k in lengths]):
+                continue
+            if readings := [x for x in self.reader.readings(word) if x[:4] in heads]:
+                out[:, i] = [best(readings, of) for of in self.weights]
+        return out
+
+    def summaries(self, texts: list[list[str]], by: np.ndarray) -> np.ndarray:
+        """summary() of each text's distinct words; by: by which of the weights."""
+        if len(self.words) > CACHE_WORDS:
+            self._empty()
+        ids, n = self.words.of(texts)
+        self.found = np.concatenate([self.found, self._weigh(self.words.since(self.found.shape[1]))], axis=1)
+        text = np.repeat(np.arange(len(texts)), n)
+        some = np.flatnonzero(self.found.any(axis=0)[ids])
+        pairs = distinct(text[some] * max(1, len(self.words)) + ids[some])
+        out = np.zeros((len(texts), 3))
+        text, ids = np.divmod(pairs, max(1, len(self.words)))
+        which, at = np.unique(text, return_index=True)
+        for i, own in zip(which.tolist(), np.split(ids, at[1:])):
+            out[i] = summary([w for w in self.found[by[i], own].tolist() if w])
+        return out
 
-    CACHED, KEPT = ("cache",), False
+
+class Model:
+    """Training keeps numbers of features only: those that LEAST toxic texts have."""
 
     def __init__(self, texts: list[list[str]], totals: list[int]):
         self._set(Reader(None), None, None)
@@ -328,27 +461,37 @@ class Model(Cached):
         return self
 
     def _set(self, reader: Reader, weights: dict[str, float] | None, calibrated) -> None:
-        self.reader, self.weights, self.calibrated, self.key, self.cache = reader, weights, calibrated, uuid.uuid4().hex, {}
+        self.reader, self.weights, self.calibrated = reader, weights, calibrated
 
     def _words(self, text: str) -> set[str]:
-        text = text.lower()
-        return {*text.split(), *self.reader.spaced(text)}
+        return set(self._all_words(text))
 
-    def _weight(self, word: str) -> float:
-        found = best(self.reader.readings(word), self.weights)
-        if len(word) <= CACHE_LETTERS:
-            put(self.cache, word, found, CACHE_WORDS)
-        return found
+    def _all_words(self, text: str) -> list[str]:
+        text = text.lower()
+        words = text.split()
+        return words + list(self.reader.words(runs)) if (runs := spelt(text, words)) else words
+
+    def scores(self, batches: Iterable) -> Iterator[np.ndarray]:
+        """The scores of batches of texts."""
+        weighed = Weighed(self.reader, [self.weights or {}])
+        for texts in batches:
+            out = [np.zeros((0, 3))]
+            for at in range(0, len(texts), BATCH):
+                part = [self._all_words(text or "") if self.weights else [] for text in texts[at : at + BATCH]]
+                out.append(weighed.summaries(part, np.zeros(len(part), dtype=np.int64)))
+            yield self.calibrated(np.concatenate(out))
 
     def score(self, texts) -> np.ndarray:
-        out = np.zeros((len(texts), 3))
-        if self.weights is not None:
-            get = self.cache.get
-            for i, text in enumerate(texts):
-                words = list(self._words(text or ""))
-                found = [self._weight(w) if v is None else v for w, v in zip(words, map(get, words))]
-                out[i] = summary([v for v in found if v])
-        return self.calibrated(out)
+        return next(self.scores([texts]))
+
+
+def score_udf(model: Model):
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from map(pd.Series, model.scores(b.tolist() for b in batches))
+        release()
+
+    return score
 
 
 PREPARED = pa.schema([("y", pa.int32()), ("copy", pa.int64()), ("words", pa.string()), ("spelt", pa.list_(pa.string())), ("gram", pa.string()), ("n", pa.int64())])
@@ -373,109 +516,129 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
 
 def _prepare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text y, the copy key, its distinct words and spelt runs; and counts of trigrams."""
-    counted, bare = Counter(), {}
+    index, names, codes, bare, texts_with = Words(), [], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def grams() -> Iterator[pa.RecordBatch]:
-        yield from _rows(PREPARED, ((None, None, None, None, t, n) for t, n in triples(counted).items()))
-        counted.clear()
-
-    for rows in _slices(batches):
-        out = []
-        for y, text in zip(*rows):
-            text = text.lower()
-            words = text.split()
-            distinct = set(words)
-            new = distinct - bare.keys()
-            if len(bare) + len(new) > CACHE_WORDS:
-                bare.clear()
-                new = distinct
-            for w in new:
-                bare[w] = _bare_word(w)
-            letters = set(map(bare.__getitem__, distinct))
-            letters.discard(None)
-            counted.update(letters)
-            out.append((y, _copy_of(words), " ".join(distinct), list(spelt(text))))
-            if len(counted) >= HELD:
-                yield from grams()
-        yield from _rows(PREPARED, out)
+        have = np.flatnonzero(texts_with)
+        yield from _rows(PREPARED, ((None, None, None, None, t, n) for t, n in triples_of([names[i] for i in have.tolist()], texts_with[have])))
+
+    for y, texts in _slices(batches):
+        if len(index) > CACHE_WORDS:
+            yield from grams()
+            index, names, codes, bare, texts_with = Words(), [], codes[:0], bare[:0], texts_with[:0]
+        texts = [text.lower() for text in texts]
+        words = [text.split() for text in texts]
+        ids, n = index.of(words)
+        letters = {w: b for w in index.since(len(names)) if not w.isalpha() and (b := _bare_word(w))}
+        for b in letters.values():
+            index[b]  # gets a number
+        new = index.since(len(names))
+        codes = np.concatenate([codes, np.array(list(map(_code, new)), dtype=np.uint64)])
+        bare = np.concatenate([bare, np.array([i if w.isalpha() else index[letters[w]] if w in letters else -1 for i, w in enumerate(new, len(names))], dtype=np.int64)])
+        texts_with = np.concatenate([texts_with, np.zeros(len(new), dtype=np.int64)])
+        names += new
+        copies = copy_keys(codes[ids], n)
+        text, own = np.divmod(distinct(np.repeat(np.arange(len(texts)), n) * max(1, len(names)) + ids), max(1, len(names)))
+        pairs = (text * max(1, len(names)) + bare[own])[bare[own] >= 0]
+        texts_with += np.bincount(distinct(pairs) % max(1, len(names)), minlength=len(names))
+        cuts, own = np.searchsorted(text, np.arange(len(texts) + 1)).tolist(), list(map(names.__getitem__, own.tolist()))
+        yield from _rows(PREPARED, ((y[i], copies[i], " ".join(own[cuts[i] : cuts[i + 1]]), list(spelt(texts[i], words[i]))) for i in range(len(texts))))
     yield from grams()
+    release()
 
 
 def _texts(batches: Iterable[pa.RecordBatch], reader: Reader) -> Iterator[tuple]:
-    """The columns before words and spelt, and the words of each prepared text."""
+    """Of some prepared texts at a time the columns before words and spelt, and the words of each."""
     for *first, words, runs in _slices(batches):
-        for *own, ws, rs in zip(*first, words, runs):
-            found = ws.split()
-            yield (*own, {*found, *reader.words(rs)} if rs else found)
+        yield *first, [ws.split() + list(reader.words(rs)) if rs else ws.split() for ws, rs in zip(words, runs)]
 
 
 def _count_forms(batches: Iterable[pa.RecordBatch], reader: Reader) -> Iterator[pa.RecordBatch]:
     """In how many texts each feature is, in parts."""
     seen, forms = Counter(), {}
-    for (words,) in _texts(batches, reader):
-        found: set[str] = set()
-        for w in words:
-            if (of := forms.get(w)) is None:
-                of = reader.forms(w)
-                put(forms, w, of, CACHE_WORDS // 5)
-            found |= of
-        seen.update(found)
+    for (texts,) in _texts(batches, reader):
+        for words in texts:
+            found: set[str] = set()
+            for w in words:
+                if (of := forms.get(w)) is None:
+                    of = reader.forms(w)
+                    put(forms, w, of, CACHE_READ)
+                found |= of
+            seen.update(found)
         if len(seen) >= HELD:
             yield from _rows(FORMS, seen.items())
             seen.clear()
     yield from _rows(FORMS, seen.items())
+    release()
+
+
+def _numbers(readings: list[str], number: dict[str, int]) -> list[int]:
+    """The numbers of a word's features; one may come twice. Where a beginning has none, longer ones have none:
+    number has the features of at least so many texts."""
+    out, get = [], number.get
+    for bare in readings:
+        if (of := get(bare + "$")) is not None:
+            out.append(of)
+        for k in range(4, min(7, len(bare))):
+            if (of := get(bare[:k])) is None:
+                break
+            out.append(of)
+    return out
 
 
 def _count_groups(batches: Iterable[pa.RecordBatch], reader: Reader, number: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """Of texts without copies, how many of each class and half have each feature; of others (many), the
     features of each group, which may come more than once."""
-    counts, ids = np.zeros((2, 2, len(number)), dtype=np.int64), {}
+    size = max(1, len(number))
+    counts = np.zeros(4 * size, dtype=np.int64)
     groups: dict[tuple[int, int], set[int]] = {}
     held = 0
+    index, start, many_of, flat = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def of_groups() -> Iterator[pa.RecordBatch]:
         return _rows(COUNTED, ((y, copy & 1, None, None, copy, list(features)) for (y, copy), features in groups.items()))
 
     for y, copy, many, words in _texts(batches, reader):
-        found: set[int] = set()
-        for w in words:
-            if (of := ids.get(w)) is None:
-                of = tuple(number[f] for f in reader.forms(w) if f in number)
-                put(ids, w, of, CACHE_WORDS)
-            found.update(of)
-        if not many:
-            counts[y, copy & 1, np.fromiter(found, dtype=np.int64, count=len(found))] += 1
-            continue
-        group = groups.setdefault((y, copy), set())
-        held -= len(group)
-        group |= found
-        held += len(group)
+        if len(index) > CACHE_WORDS:
+            index, start, many_of, flat = Words(), start[:0], many_of[:0], flat[:0]
+        ids, n = index.of(words)
+        new = [_numbers(reader.readings(w), number) for w in index.since(len(start))]
+        n_new = np.fromiter(map(len, new), np.int64, len(new))
+        start = np.concatenate([start, len(flat) + np.cumsum(n_new) - n_new])
+        many_of = np.concatenate([many_of, n_new])
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(new), np.int64, int(n_new.sum()))])
+        each = many_of[ids]
+        at = np.arange(int(each.sum())) + np.repeat(start[ids] - (np.cumsum(each) - each), each)
+        text, features = np.divmod(distinct(np.repeat(np.repeat(np.arange(len(y)), n), each) * size + flat[at]), size)
+        kind = np.array([2 * a + (b & 1) for a, b in zip(y, copy)], dtype=np.int64)
+        single = ~np.array(many, dtype=bool)[text]
+        np.add.at(counts, kind[text[single]] * size + features[single], 1)
+        cuts = np.searchsorted(text, np.arange(len(y) + 1))
+        for i in np.flatnonzero(many).tolist():
+            group = groups.setdefault((y[i], copy[i]), set())
+            held -= len(group)
+            group.update(features[cuts[i] : cuts[i + 1]].tolist())
+            held += len(group)
         if held >= HELD:
             yield from of_groups()
             groups.clear()
             held = 0
     yield from of_groups()
-    yield from _rows(COUNTED, ((y, h, f, int(counts[y, h, f])) for y in (0, 1) for h in (0, 1) for f in np.flatnonzero(counts[y, h]).tolist()))
+    yield from _rows(COUNTED, ((k // size // 2, k // size % 2, k % size, int(counts[k])) for k in np.flatnonzero(counts).tolist()))
+    release()
 
 
 def _summarise(batches: Iterable[pa.RecordBatch], reader: Reader, weights: tuple[dict[str, float], dict[str, float]]) -> Iterator[pa.RecordBatch]:
     """How many texts of each class have which summary, by the weights learned from the other half."""
-    seen, known = Counter(), {}
+    seen, weighed = Counter(), Weighed(reader, weights)
     for y, copy, words in _texts(batches, reader):
-        found = []
-        for w in words:
-            if (both := known.get(w)) is None:
-                readings = reader.readings(w)
-                both = tuple(best(readings, of) for of in weights) if readings else (0.0, 0.0)
-                both = both if any(both) else ()
-                put(known, w, both, CACHE_WORDS)
-            if both:
-                found.append(both[1 - (copy & 1)])
-        seen[y, *map(float, summary([v for v in found if v]))] += 1
+        found = weighed.summaries(words, np.array([1 - (c & 1) for c in copy], dtype=np.int64))
+        seen.update((k, *x) for k, x in zip(y, found.tolist()))
         if len(seen) >= HELD:
             yield from _rows(SUMMED, ((*x, n) for x, n in seen.items()))
             seen.clear()
     yield from _rows(SUMMED, ((*x, n) for x, n in seen.items()))
+    release()
 
 
 def _weights(found: list, forms: list[str], toxic: list[str], clean: list[str], n: tuple[int, int]) -> dict[str, float]:

@@ -243,3 +243,34 @@ def test_every_labelled_row_is_learned_from(spark):
     assert model.calibrated.w == pytest.approx(want.calibrated.w, rel=1e-6)
     some = [t for c in texts for t in c[:300]] + ["", "a f1end", "w r e t c h e d rivers"]
     assert model.score(some) == pytest.approx(want.score(some), abs=1e-9)
+
+
+def test_stretches_and_first_letters_give_what_whole_words_do():
+    """Words decoded by stretches, and weighed only where their first letters may begin a feature, against
+    Viterbi over each whole word and against all words' features."""
+    rng = random.Random(6)
+    model = toxicity.CharacterModel(toxicity.Counter({w + e: rng.randint(1, 9) for w in [*NICE, *BAD, "poop", "ass"] for e in ("", "s", "ly")}))
+    reader = toxicity.Reader(model)
+    words = {"".join(rng.choice("aeiosrtchd" * 3 + "13$@!.-_*'|,;é\0") for _ in range(rng.randint(1, 12))) for _ in range(3000)}
+    for w in [*NICE, *BAD]:
+        words |= {w, w + ".", w + "!", w[:2] + w[1:], w[:3] + w[2] * 3 + w[3:], w.replace("e", "3"), ".".join(w), w[0] * 3 + w[1:]}
+    for text in [*words, "a  s  s", "p o o p", "x"]:
+        assert toxicity.decode(text, model) == toxicity._viterbi(text, "  ", " ", model).strip()
+    weights = [{f: rng.random() for w in [*NICE[::k], *BAD, "ass", "é"] for f in toxicity._forms(w)} for k in (2, 3)]
+    found = toxicity.Weighed(reader, weights)._weigh(list(words))
+    for word, *own in zip(words, *found.tolist()):
+        assert own == [max((of.get(f, 0.0) for f in reader.forms(word)), default=0.0) for of in weights]
+
+
+def test_no_trigram_or_reading_is_looked_up_word_by_word():
+    """What took most CPU: trigrams of many words are counted in numpy, and words share stretches."""
+    words = ["stone", "é", "window", "stone's", "文字", "𝒳y"]
+    n = np.array([3, 1, 2, 5, 1, 4])
+    got = toxicity.Counter()
+    for t, k in toxicity.triples_of(words, n):
+        got[t] += k
+    assert got == toxicity.triples(toxicity.Counter(dict(zip(words, n.tolist()))))
+    model = toxicity.CharacterModel(toxicity.Counter({"letter": 3}))
+    for word in ("better", "abetter", "cabetter"):
+        toxicity.decode(word, model)
+    assert len(model.stretches) == 1
