@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .shared import written
+from .shared import release, written
 from .tokens import encoder, slices, tokenizer_path
 
 PART_ROWS, SPARE = 60_000, 8
@@ -44,6 +44,7 @@ def _pieces(path: str, size: int, end_id: int):
                         out.append((doc, row, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
             if out:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return run
 

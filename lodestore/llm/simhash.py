@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..deploy import ship
 from .components import components, local_roots
-from .shared import join_in_place, join_on_groups, packed_rows, small, written
+from .shared import join_in_place, join_on_groups, packed_rows, release, small, written
 from .tokens import slices
 
 WORDS, SEED, DISTANCE = 3, 42, 3
@@ -65,6 +65,7 @@ def _fingerprints(batches):
             *own, text = part.columns
             prints = np.array([fingerprint(t or b"") for t in text.to_pylist()], dtype=np.uint64)
             yield pa.record_batch([*own, pa.array(prints.view(np.int64))], names=[*part.schema.names[:-1], "print"])
+    release()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -146,3 +146,31 @@ def test_near_and_mixing_stages_take_rows_of_null_and_repeated_ids(spark):
     got = sum(len(r.text.split()) for r in mixing.mixed_rows(df).collect())
     assert got == sum(r.taken for r in mixing.mix(df).collect())
     assert got == sum(r.taken for r in mixing.mix(df.repartition(5)).collect())
+
+
+def test_python_workers_keep_little_between_stages(monkeypatch):
+    """Idle workers stay beside an executor's JVM: at a task's end each stage gives memory back, and of the
+    words of toxicity's passes none are kept, only the bounded stretches and costs."""
+    import pickle
+
+    import pyarrow as pa
+
+    from lodestore.llm import packing, simhash
+    from lodestore.llm.tokens import tokenizer_path
+
+    given = []
+    for module in (toxicity, packing, simhash):
+        monkeypatch.setattr(module, "release", lambda name=module.__name__.rsplit(".")[-1]: given.append(name))
+    monkeypatch.setattr(toxicity, "_caches", {})
+    texts = [f"some l1ttle w0rd{i}x betterr{i} {i}" for i in range(3000)]
+    reader = pickle.loads(pickle.dumps(toxicity.Reader(toxicity.CharacterModel(Counter({"some": 4, "little": 3})))))
+    made = list(toxicity._prepare([pa.record_batch({"y": [i % 2 for i in range(3000)], "text": texts})]))
+    rows = [r for b in made for r in b.to_pylist() if r["y"] is not None]
+    table = pa.RecordBatch.from_pylist([{k: r[k] for k in ("y", "copy", "words", "spelt")} for r in rows])
+    found = list(toxicity._summarise([table], reader, ({"little$": 1.0}, {"some$": 2.0})))
+    assert sum(r["n"] for b in found for r in b.to_pylist()) == 3000
+    list(simhash._fingerprints([pa.record_batch({"doc_id": [1], "text": [b"a b c d"]})]))
+    list(packing._pieces(tokenizer_path(), 2048, 0)([pa.record_batch({"doc_id": [1], "text": ["a b"], "row": [0]})]))
+    assert given == ["toxicity", "toxicity", "simhash", "packing"]
+    assert {name for _, name in toxicity._caches} == {"costs", "stretches"}
+    assert all(len(c) <= toxicity.CACHE_READ < 50_000 for c in toxicity._caches.values())
