@@ -32,8 +32,9 @@ def hashtags(text: Column) -> Column:
 
 
 def capitalised(text: Column) -> Column:
-    """Runs of capitalised ASCII words with single spaces between them, as names of kind unknown."""
-    runs = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9])([A-Z][A-Za-z.']*(?: [A-Z][A-Za-z.']*)*)"), 1)
+    """Runs of capitalised ASCII words with single spaces between them, as names of kind unknown. Nothing
+    follows a run, so it gives nothing back: the repeats are possessive, and a run of any length takes no stack."""
+    runs = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9])([A-Z][A-Za-z.']*+(?: [A-Z][A-Za-z.']*+)*+)"), 1)
     names = F.filter(runs, lambda n: (F.char_length(n) >= 2) & ~n.isin(*OPENERS))
     return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit("unknown").alias("type")))
 
